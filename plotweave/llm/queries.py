@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate
+from plotweave.llm import decontaminate, ngram_join
 from plotweave.llm.common import table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,7 +14,15 @@ def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_suffix_decontamination": op4_suffix_decontamination}
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.toDF("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op4_suffix_decontamination": op4_suffix_decontamination,
+}
 ORACLES = {
     "op4_suffix_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
