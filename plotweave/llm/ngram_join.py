@@ -108,7 +108,7 @@ def ngram_sets(w: bytewords.Words, n: int) -> Sets:
     texts = np.searchsorted(w.at, places, side="right") - 1
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
-        whole = np.array([(w.hashes[w.at[i] : w.at[i + 1]] * _FACTORS[: counts[i]]).sum(dtype=np.uint64) + _FACTORS[32 + counts[i]] for i in short.tolist()], dtype=np.uint64)
+        whole = np.array([(w.hashes[w.at[i] : w.at[i + 1]] * _FACTORS[: counts[i]]).sum(dtype=np.uint64) for i in short.tolist()]) + _FACTORS[32 + counts[short]]
         grams, texts = np.concatenate([grams, whole]), np.concatenate([texts, short])
         order = np.argsort(texts, kind="stable")
         grams, texts = grams[order], texts[order]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, ngram_join
+from plotweave.llm import decontaminate, hmm_lm, ngram_join, secrets
 from plotweave.llm.common import table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -19,9 +19,19 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.toDF("doc_id", "n_shingles", "component_id")
 
 
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_suffix_decontamination": op4_suffix_decontamination,
+    "op7_markov_secrets": op7_markov_secrets,
+    "op9_hmm_scoring": op9_hmm_scoring,
 }
 ORACLES = {
     "op4_suffix_decontamination": rf"""
