@@ -15,6 +15,7 @@ def get_session(app: str = "plotweave", cores: int | str = "*", shuffle: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
