@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, hmm_lm, ngram_join, secrets
+from plotweave.llm import decontaminate, hmm_lm, ngram_join, secrets, toxicity
 from plotweave.llm.common import table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -27,11 +27,16 @@ def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_suffix_decontamination": op4_suffix_decontamination,
     "op7_markov_secrets": op7_markov_secrets,
     "op9_hmm_scoring": op9_hmm_scoring,
+    "op6_boosted_toxicity": op6_boosted_toxicity,
 }
 ORACLES = {
     "op4_suffix_decontamination": rf"""
