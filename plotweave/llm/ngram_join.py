@@ -9,8 +9,8 @@ index them, and no link is lost. How many segments of each kind and how many spa
 cost: keys written, and pairs that would meet by chance, given how many sets of the corpus are in the band.
 
 Texts with one word sequence form a class, which is joined once. Sets that share a key meet their key's smallest class
-first; only sets that are still in different components, and that the triangle inequality doesn't rule out, are
-compared with one another after that. Every comparison is exact, on the whole sets. No group is ever expanded into all its
+first; after that, only sets that are still in different components are compared with one another, and only where
+neither the triangle inequality nor the tokens that each of them has alone rule out a link. Every comparison is exact, on the whole sets. No group is ever expanded into all its
 pairs, and no candidate is dropped.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; a text of fewer words than n has its whole
@@ -281,26 +281,37 @@ class Join:
 
     def sets(self, needed: DataFrame, members: DataFrame) -> DataFrame:
         """class, tokens (64-bit numbers, sorted, as bytes) of the needed classes, from one text of each."""
-        n = self.n
+        n, salt = self.n, self.salt
         one = members.filter("class is not null and doc is not null").groupBy("class").agg(F.min("doc").alias("doc"))
-        picked = needed.join(one, "class").groupBy("doc").agg(F.min("class").alias("class"))
+        picked = needed.join(one, "class").select("doc", "class")
 
         def run(batches):
             for part in bytewords.blocks(batches, "text"):
-                s = ngram_sets(_texts(part, "text"), n)
-                raw = s.tokens.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("class")), pa.array([raw[8 * a : 8 * b] for a, b in zip(s.at[:-1].tolist(), s.at[1:].tolist(), strict=True)], pa.binary())],
-                    ["class", "tokens"],
-                )
+                w = _texts(part, "text")
+                s = ngram_sets(w, n)
+                raw, own = s.tokens.tobytes(), [x and x[0] for x in classes(w, salt)]
+                right = [i for i, (x, y) in enumerate(zip(own, part.column(0).to_pylist(), strict=True)) if x == y]  # an id may have several texts
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in right], pa.int64()), pa.array([raw[8 * s.at[i] : 8 * s.at[i + 1]] for i in right], pa.binary())], ["class", "tokens"])
 
-        return self.docs.join(picked, "doc").select("class", "text").mapInArrow(run, "class long, tokens binary")
+        found = self.docs.join(picked, "doc").select("class", "text").mapInArrow(run, "class long, tokens binary")
+        return store(found.groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
 
-    def compare(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    def alone(self, sets: DataFrame) -> DataFrame:
+        """class, size, alone: how many of its tokens no other of these classes has."""
+
+        def run(batches):
+            for part in bytewords.blocks(batches, "tokens"):
+                own = part.column(0).to_numpy()
+                lists = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(x) for x in lists])), pa.array(np.concatenate(lists))], ["class", "token"])
+
+        of_token = sets.mapInArrow(run, "class long, token long").groupBy("token").agg(F.count("*").alias("n"), F.min("class").alias("class"))
+        single = of_token.filter("n = 1").groupBy("class").agg(F.count("*").alias("alone"))
+        return sets.select("class", F.expr("length(tokens) div 8").alias("size")).join(single, "class", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+
+    def compare(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b, shared, size_a, size_b of each pair of classes (a, b), from their whole sets."""
-        needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        sets = store(self.sets(needed, members), "sets").groupBy("class").agg(F.first("tokens").alias("tokens"))
-        both = pairs.join(sets.withColumnRenamed("class", "b").withColumnRenamed("tokens", "tokens_b"), "b").join(sets.withColumnRenamed("class", "a").withColumnRenamed("tokens", "tokens_a"), "a")
+        both = pairs.join(sets.toDF("b", "tokens_b"), "b").join(sets.toDF("a", "tokens_a"), "a")
 
         def run(batches):
             for batch in batches:
@@ -323,26 +334,32 @@ class Join:
         """members, and node (class), root of all classes that have links."""
         members = self.members()
         index = self.index(self.schemes(members))
-        stars = self.compare(index.filter("class != center").select(F.col("class").alias("a"), F.col("center").alias("b")).distinct(), members)
+        stars = index.filter("class != center").select(F.col("class").alias("a"), F.col("center").alias("b")).distinct()
+        sets = self.sets(index.select("class").distinct(), members)
+        stars = self.compare(stars, sets)
         found = connected_components(self.linked(stars))
-        # a key's classes that the centers haven't joined: each pair from two components, unless its distances to the center rule it out
+        # a key's classes that the centers haven't joined: pairs from two components that neither bound rules out
         far = stars.select(F.col("a").alias("class"), F.col("b").alias("center"), (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far"))
         rest = (
             index.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
             .join(far, ["class", "center"], "left").filter("class != center")
         )
-        groups = rest.select("key", "root").distinct()
-        open_keys = groups.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
         rest = store(rest.join(open_keys, "key").select("key", "class", "root", "far"), "rest")
+        # linked sets differ in few tokens, so tokens that a set has alone rule out most or all of its pairs
+        alone = self.alone(sets.join(rest.select("class").distinct(), "class"))
+        differ = (100 - self.percent) / (100 + self.percent)
+        rest = store(rest.join(alone, "class").filter(F.col("alone") <= differ * (F.col("size") + F.col("size") * 100 / self.percent) + 1e-6), "rest")
         groups = rest.select("key", "root").distinct()
         meet = groups.join(groups.withColumnRenamed("root", "other"), "key").filter("root < other")
-        left = rest.select("key", "root", F.col("class").alias("a"), F.col("far").alias("far_a"))
-        right = rest.select("key", F.col("root").alias("other"), F.col("class").alias("b"), F.col("far").alias("far_b"))
+        side = lambda root, x: rest.select("key", F.col("root").alias(root), F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("far", "size", "alone")))
         reach = (100 - self.percent) / 100 + 1e-9
-        more = meet.join(left, ["key", "root"]).join(right, ["key", "other"]).filter(F.abs(F.col("far_a") - F.col("far_b")) <= reach)
+        more = meet.join(side("root", "a"), ["key", "root"]).join(side("other", "b"), ["key", "other"]).filter(
+            (F.abs(F.col("far_a") - F.col("far_b")) <= reach) & (F.col("alone_a") + F.col("alone_b") <= differ * (F.col("size_a") + F.col("size_b")) + 1e-6)
+        )
         more = store(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
         if not more.isEmpty():
-            links = self.linked(self.compare(more, members))
+            links = self.linked(self.compare(more, sets))
             if not links.isEmpty():
                 found = connected_components(links.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         return members, found
