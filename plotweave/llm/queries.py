@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, hmm_lm, ngram_join, secrets, toxicity
+from plotweave.llm import decontaminate, hmm_lm, ngram_join, secrets, toxicity, warc
 from plotweave.llm.common import table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,12 +31,17 @@ def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_suffix_decontamination": op4_suffix_decontamination,
     "op7_markov_secrets": op7_markov_secrets,
     "op9_hmm_scoring": op9_hmm_scoring,
     "op6_boosted_toxicity": op6_boosted_toxicity,
+    "op2_warc_segments": op2_warc_segments,
 }
 ORACLES = {
     "op4_suffix_decontamination": rf"""
