@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, hmm_lm, ngram_join, secrets, toxicity, warc
+from plotweave.llm import decontaminate, hmm_lm, ngram_join, pii, secrets, toxicity, warc
 from plotweave.llm.common import table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -35,6 +35,10 @@ def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op8_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_suffix_decontamination": op4_suffix_decontamination,
@@ -42,6 +46,7 @@ QUERIES = {
     "op9_hmm_scoring": op9_hmm_scoring,
     "op6_boosted_toxicity": op6_boosted_toxicity,
     "op2_warc_segments": op2_warc_segments,
+    "op8_disclosure_pii": op8_disclosure_pii,
 }
 ORACLES = {
     "op4_suffix_decontamination": rf"""
