@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, hmm_lm, ngram_join, pii, secrets, toxicity, warc
+from plotweave.llm import decontaminate, hmm_lm, html_text, mixture, ngram_join, pii, secrets, toxicity, warc
 from plotweave.llm.common import table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -39,6 +39,20 @@ def op8_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
+#: Target weights of the mixture: the first source is held down, the third one is favoured.
+WEIGHTS = {f"src{k}": {0: 0.02, 2: 0.12}.get(k, 0.86 / 18) for k in range(20)}
+
+
+def op5_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found, copy = mixture.replicate(docs, weights=WEIGHTS)
+    return found.withColumnRenamed(copy, "copy").select("doc_id", "source", "copy", "text")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_suffix_decontamination": op4_suffix_decontamination,
@@ -47,8 +61,22 @@ QUERIES = {
     "op6_boosted_toxicity": op6_boosted_toxicity,
     "op2_warc_segments": op2_warc_segments,
     "op8_disclosure_pii": op8_disclosure_pii,
+    "op10_crf_main_text": op10_crf_main_text,
+    "op5_poisson_mixture": op5_poisson_mixture,
 }
+_TERMS = ", ".join(f"exp(-m) * pow(m, {k}) / {float(__import__('math').factorial(k))!r}" for k in range(49))
 ORACLES = {
+    "op5_poisson_mixture": f"""
+WITH w AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v!r})" for k, v in WEIGHTS.items())}) AS t(source, weight)),
+c AS (SELECT source, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY source),
+r AS (SELECT source, coalesce(weight, 0) / {sum(WEIGHTS.values())!r} * total / n AS mean FROM c LEFT JOIN w USING (source)),
+d AS (SELECT doc_id, source, text, mean, CASE WHEN mean > 8 THEN floor(mean - 8) ELSE 0 END AS whole,
+             concat('0x', substr(sha256(concat('mix|', doc_id)), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents JOIN r USING (source)),
+k AS (SELECT doc_id, source, text, whole, u, mean - whole AS m FROM d),
+p AS (SELECT doc_id, source, text, whole, u, [{_TERMS}] AS p FROM k),
+n AS (SELECT doc_id, source, text, whole + len(list_filter(list_transform(generate_series(1, 48), lambda i: list_sum(p[1:i])), lambda s: s <= u)) AS copies FROM p)
+SELECT doc_id, source, CAST(unnest(generate_series(1, CAST(copies AS BIGINT))) AS INTEGER) AS copy, text FROM n""",
+    
     "op4_suffix_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
