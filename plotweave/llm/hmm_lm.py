@@ -240,7 +240,7 @@ def updated(model: Model, vocab: Vocabulary, start: np.ndarray, middle: np.ndarr
 def baum_welch(coded: DataFrame, vocab: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
     """The model after so many rounds over all rows of coded (symbols, as 16-bit numbers), and the log-likelihood before each."""
     spark = coded.sparkSession
-    sample = [np.frombuffer(r[0], dtype=np.uint16).astype(np.int64) for r in coded.orderBy(F.xxhash64("symbols")).select(F.substring("symbols", 1, 2 * 2_000)).limit(SEED_TEXTS).collect()]
+    sample = [np.frombuffer(r[0], dtype=np.uint16).astype(np.int64) for r in coded.select(F.substring("symbols", 1, 4_000).alias("s"), F.xxhash64("symbols").alias("o")).orderBy("o").limit(SEED_TEXTS).select("s").collect()]
     model, history = first_model(vocab, sample, states), []
     size = len(vocab.shares)
     columns = [f"e{k}" for k in range(states)]

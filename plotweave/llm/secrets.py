@@ -35,15 +35,24 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Nats a character by which the random model must be likelier.
 MARGIN = 0.6
 #: Labelled rows that the models are fitted on: random strings made, and documents whose words are identifiers.
-RANDOM_ROWS, IDENTIFIER_ROWS = 4096, 2000
+RANDOM_ROWS, IDENTIFIER_ROWS = 4096, 300
 
 
-def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """array<struct<start, rank, stop>> of the pattern's matches that keep (a predicate on a match) accepts."""
+def _matches(docs: DataFrame, text: Column, name: str) -> DataFrame:
+    """docs with a struct column: for each kind, a struct of its matches (found) and of the lengths of the gaps before them (gap).
+
+    Two projections, so that each pattern runs once over a text, and a second time only where it has matches.
+    """
+    patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, TOKEN), strict=True))
+    found = docs.withColumn(name, F.struct(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(k) for k, p in patterns.items())))
+    gaps = lambda k, p: F.when(F.size(F.col(name)[k]) > 0, F.slice(F.transform(F.split(text, p, -1), F.length), F.lit(1), F.size(F.col(name)[k])))
+    return found.withColumn(name, F.struct(*(F.struct(F.col(name)[k].alias("found"), gaps(k, p).alias("gap")).alias(k) for k, p in patterns.items())))
+
+
+def _spans(matches: Column, kind: str, keep=None) -> Column:
+    """array<struct<start, rank, stop>> of a kind's matches that keep (a predicate on a match) accepts."""
     rank, empty = KINDS.index(kind), "array<struct<start:long,rank:int,stop:long>>"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.transform(found, F.length).alias("n"), F.slice(F.transform(gaps, F.length), F.lit(1), F.size(found)).alias("gap"), found.alias("s"))
+    both = F.arrays_zip(F.transform(matches.found, F.length).alias("n"), matches["gap"].alias("gap"), matches.found.alias("s"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(empty).alias("spans"))
 
     def add(acc, x):
@@ -54,16 +63,7 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
         return F.struct(end.alias("at"), F.when(ok, F.concat(acc.spans, span)).otherwise(acc.spans).alias("spans"))
 
     placed = F.aggregate(both, start, add, lambda acc: acc.spans)
-    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast(empty))
-
-
-def base_spans(text: Column) -> dict[str, Column]:
-    """The spans of the fixed patterns, by kind."""
-    return {
-        "assign": _spans(text, ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST["assign"]),
-        "access": _spans(text, ACCESS, "access", lambda m: F.length(m) >= LEAST["access"]),
-        "hex": _spans(text, HEX, "hex"),
-    }
+    return F.when(F.size(matches.found) > 0, placed).otherwise(F.array().cast(empty))
 
 
 def labelled_strings(docs: DataFrame, text: str, doc: str) -> DataFrame:
@@ -75,7 +75,8 @@ def labelled_strings(docs: DataFrame, text: str, doc: str) -> DataFrame:
         F.upper(F.regexp_replace(F.base64(F.unhex("h")), "[^A-Za-z0-9]", "")),
     ))
     random = made.select(encoded.alias("s"), F.lit(True).alias("random"))
-    some = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(doc)).alias("o")).orderBy("o").limit(IDENTIFIER_ROWS)
+    picked = docs.select(F.col(doc).alias("picked")).filter("picked is not null").orderBy(F.xxhash64("picked")).limit(IDENTIFIER_ROWS)
+    some = docs.join(F.broadcast(picked), F.col(doc) == F.col("picked"), "left_semi").select(F.col(text).alias("t"))
     words = F.filter(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(r"[A-Za-z][A-Za-z]+"), F.lit(0)), lambda w: F.length(w) <= 40)
     joined = lambda sep: F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(sep), b))
     camel = F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.initcap(b)))
@@ -86,9 +87,10 @@ def labelled_strings(docs: DataFrame, text: str, doc: str) -> DataFrame:
 def fit(docs: DataFrame, *, text: str = "text", doc: str = "doc_id") -> list[float]:
     """The log-likelihood ratio of each pair of characters, first * size + second in the alphabet's order."""
     size = len(ALPHABET)
-    chars = F.split("s", "")
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.concat(F.element_at(F.col("c"), i), F.try_element_at(F.col("c"), i + 1)))
-    pairs = labelled_strings(docs, text, doc).filter(F.length("s") > 1).withColumn("c", chars).select("random", F.explode(steps).alias("p"))
+    # the characters are bound as a lambda's argument, else they would be split anew for each pair
+    held = F.array(F.filter(F.split("s", ""), lambda c: c != ""))
+    steps = F.transform(held, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b)))
+    pairs = labelled_strings(docs, text, doc).filter(F.length("s") > 1).select("random", F.explode(F.flatten(steps)).alias("p"))
     counts = {True: {}, False: {}}
     for row in pairs.groupBy("random", "p").count().collect():  # two characters and a label: bounded by the alphabet
         if row.p and len(row.p) == 2 and row.p[0] in ALPHABET and row.p[1] in ALPHABET:
@@ -101,30 +103,31 @@ def fit(docs: DataFrame, *, text: str = "text", doc: str = "doc_id") -> list[flo
     return [math.log(chance(counts[True], k) / chance(counts[False], k)) for k in range(size * size)]
 
 
-def markov_spans(text: Column, model: list[float]) -> Column:
+def suspicious(model: list[float]):
+    """The predicate on a token that the random model is likelier than the identifiers' by MARGIN nats a character."""
     size = len(ALPHABET)
-    ratios = F.lit(model)
-    place = lambda c: F.call_function("instr", F.lit(ALPHABET), c)
+    ratios = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # folded to one literal
 
     def ratio(token):
-        held = F.array(F.transform(F.filter(F.split(token, ""), lambda c: c != ""), place))
+        held = F.array(F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c)))
         total = lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(ratios, (F.element_at(p, i) - 1) * size + F.element_at(p, i + 1)))
         return F.element_at(F.transform(held, total), 1)
 
-    return _spans(text, TOKEN, "markov", lambda m: ratio(m) >= MARGIN * F.length(m))
+    return lambda m: ratio(m) >= MARGIN * F.length(m)
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, *, text: str = "text", doc: str = "doc_id") -> tuple[DataFrame, str]:
     """docs with a struct column (assign, access, hex, markov: spans by kind; base, spans: all, in order), and its name."""
     model = fit(docs, text=text, doc=doc) if model is None else model
     name = fresh(docs, "secret_spans")
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn(name, F.struct(*(v.alias(k) for k, v in base_spans(body).items()), markov_spans(body, model).alias("markov")))
+    found = _matches(docs, F.coalesce(F.col(text), F.lit("")), name)
+    keep = {"assign": lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST["assign"], "access": lambda m: F.length(m) >= LEAST["access"], "hex": None, "markov": suspicious(model)}
+    found = found.withColumn(name, F.struct(*(_spans(F.col(name)[k], k, keep[k]).alias(k) for k in KINDS)))
     s = F.col(name)
+    found = found.withColumn(name, F.struct(*(s[k].alias(k) for k in KINDS), F.array_sort(F.concat(s["assign"], s["access"], s["hex"])).alias("base")))
     # a token that a fixed pattern has found already adds nothing
-    new = F.filter(s["markov"], lambda m: ~F.exists(F.concat(s["assign"], s["access"], s["hex"]), lambda b: (b.start < m.stop) & (m.start < b.stop)))
-    base = F.array_sort(F.concat(s["assign"], s["access"], s["hex"]))
-    return found.withColumn(name, F.struct(s["assign"].alias("assign"), s["access"].alias("access"), s["hex"].alias("hex"), new.alias("markov"), base.alias("base"), F.array_sort(F.concat(base, new)).alias("spans"))), name
+    new = F.filter(s["markov"], lambda m: ~F.exists(s["base"], lambda b: (b.start < m.stop) & (m.start < b.stop)))
+    return found.withColumn(name, F.struct(*(s[k].alias(k) for k in KINDS[:3]), new.alias("markov"), s["base"].alias("base"), F.array_sort(F.concat(s["base"], new)).alias("spans"))), name
 
 
 def listed(spans: Column) -> Column:
