@@ -109,7 +109,16 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toPandas()  # a fixed number of rows
+    # the most frequent tokens by steps of their counts, as many steps as fit: no task sends more than its share of them
+    step = F.floor(F.log2("c") * 64)
+    room, least = KNOWN, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = counts.filter(step >= least) if least is not None else counts.limit(0)
+    top = top.toArrow().to_pandas().sort_values(["c", "token"], ascending=[False, True])  # KNOWN rows at most
     by_class = {r["class"]: (r["n"], r["types"]) for r in counts.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("types")).collect()}
     total, types = sum(n for n, _ in by_class.values()), sum(t for _, t in by_class.values())
     order = np.argsort(top["token"].to_numpy().astype(np.int64).view(np.uint64), kind="stable")
@@ -261,7 +270,7 @@ def baum_welch(coded: DataFrame, vocab: Vocabulary, *, states: int = STATES, rou
             name = np.concatenate([used, size + np.arange(states + 3)])
             yield pa.RecordBatch.from_arrays([pa.array(name), *(pa.array(table[:, k].copy()) for k in range(states))], ["row", *columns])
 
-        summed = coded.mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in columns)).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+        summed = coded.mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in columns)).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toArrow().to_pandas()
         table = np.zeros((size + states + 3, states))
         table[summed["row"].to_numpy()] = summed[columns].to_numpy()
         history.append(float(table[-1, 0]))

@@ -143,7 +143,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     met = store(met.filter((F.col("both") >= SUPPORT) | (F.col("term") == 0)), "met")
     terms = met.filter(f"term != 0 and both >= {SUPPORT}").select("term").distinct()
     few = terms.limit(CANDIDATES + 1).count() <= CANDIDATES
-    wanted = spark.sparkContext.broadcast(np.sort(terms.toPandas()["term"].to_numpy().astype(np.int64).view(np.uint64)) if few else None)
+    wanted = spark.sparkContext.broadcast(np.sort(terms.toArrow().to_pandas()["term"].to_numpy().astype(np.int64).view(np.uint64)) if few else None)
 
     def have(batches):
         seen: set[bytes] = set()

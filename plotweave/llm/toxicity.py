@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
     odds = F.log((F.col("toxic") + 0.5) / (n + 1)) - F.log((F.col("other") + 0.5) / (m + 1))
     odds = odds - DOUBT * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     counted = sample.mapInArrow(count, "entry long, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    top = counted.filter((F.col("toxic") >= SUPPORT) & (odds >= ODDS)).orderBy(odds.desc(), "entry").limit(LEXICON).toPandas()
+    top = counted.filter((F.col("toxic") >= SUPPORT) & (odds >= ODDS)).orderBy(odds.desc(), "entry").limit(LEXICON).toArrow().to_pandas()
     entry = top["entry"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(entry)
     lexicon = Lexicon(entry[order], top["toxic"].to_numpy().astype(np.int64)[order], top["other"].to_numpy().astype(np.int64)[order], (n, m))
@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
             x = features(part.column(1).to_pylist(), shared.value, label)
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), *(pa.array(x[:, j].copy()) for j in range(x.shape[1]))], ["label", "calibrates", *FEATURES])
 
-    rows = sample.mapInArrow(measure, "label int, calibrates int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()  # at most 2 * SAMPLE rows of numbers
+    rows = sample.mapInArrow(measure, "label int, calibrates int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow().to_pandas()  # at most 2 * SAMPLE rows of numbers
     rows = rows.sort_values([*FEATURES, "label"], kind="stable")
     y, x, later = rows["label"].to_numpy().astype(float), rows[list(FEATURES)].to_numpy(), rows["calibrates"].to_numpy() == 1
     if not 0 < y[~later].sum() < (~later).sum():
