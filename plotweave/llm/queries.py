@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import decontaminate, hmm_lm, html_text, mixture, ngram_join, pii, secrets, toxicity, warc
+from plotweave.llm import decontaminate, hmm_lm, html_text, images, mixture, ngram_join, pii, secrets, toxicity, warc
 from plotweave.llm.common import table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,6 +53,11 @@ def op5_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed(copy, "copy").select("doc_id", "source", "copy", "text")
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so each vector of embeddings is rendered as one."""
+    return images.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_suffix_decontamination": op4_suffix_decontamination,
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_warc_segments": op2_warc_segments,
     "op8_disclosure_pii": op8_disclosure_pii,
     "op10_crf_main_text": op10_crf_main_text,
+    "op3_image_copies": op3_image_copies,
     "op5_poisson_mixture": op5_poisson_mixture,
 }
 _TERMS = ", ".join(f"exp(-m) * pow(m, {k}) / {float(__import__('math').factorial(k))!r}" for k in range(49))
