@@ -8,10 +8,10 @@ match, by the pigeonhole principle. z spare units pay for the segments left empt
 index them, and no link is lost. How many segments of each kind and how many spare units a band gets is chosen by
 cost: keys written, and pairs that would meet by chance, given how many sets of the corpus are in the band.
 
-Texts with one word sequence form a class, which is joined once. Sets that share a key meet their key's smallest class
-first; after that, only sets that are still in different components are compared with one another, and only where
-neither the triangle inequality nor the tokens that each of them has alone rule out a link. Every comparison is exact, on the whole sets. No group is ever expanded into all its
-pairs, and no candidate is dropped.
+Texts with one word sequence form a class, which is joined once. Sets that share a key meet their key's smallest class, the
+center, first. After that, a center's classes that are still in different components are tested in blocks, each two blocks in one
+task, without writing their pairs; sets with too many tokens of their own are left out before, since they can't have links. Every test is
+exact, on the whole sets, and no candidate is dropped.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; a text of fewer words than n has its whole
 sequence as its one n-gram; repeated rows are in one class, whatever their number; an empty table gives an empty one.
@@ -39,6 +39,8 @@ _FACTORS = bytewords.mix(np.arange(1, 65, dtype=np.uint64)) | U(1)
 PAIR_COST = 60.0
 #: Classes that a task remembers, so as to write the keys of copies once.
 SEEN = 1_000_000
+#: Classes in a block of a center's, and tokens in a slice of a cell.
+BLOCK, WIDTH = 256, 2_048
 
 
 @dataclass(frozen=True)
@@ -174,10 +176,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, class, center of keys that several classes have; the rows come sorted. center: the key's smallest class."""
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, center of keys that several classes have; the rows come sorted by key and class. center: the key's smallest class."""
     last_key = last_class = center = None
-    pending = False  # the last row is not written yet
     for batch in batches:
         k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(k):
@@ -188,26 +189,52 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, c = k[new], c[new]
         if not len(k):
             continue
-        if last_key is not None and pending:
-            if k[0] == last_key:
-                yield _rows([last_key], [last_class], [center])
         first = np.ones(len(k), dtype=bool)
         first[1:] = k[1:] != k[:-1]
-        goes_on = last_key is not None and k[0] == last_key
-        if goes_on:
-            first[0] = False
+        first[0] = last_key is None or k[0] != last_key
         run = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
         centers = np.where(run >= 0, c[np.maximum(run, 0)], center if center is not None else 0)
-        shared = ~first
-        shared[:-1] |= ~first[1:]
-        if shared.any():
-            yield _rows(k[shared], c[shared], centers[shared])
+        later = ~first
+        if later.any():
+            pairs = np.unique(np.stack([c[later], centers[later]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], ["a", "b"])
         last_key, last_class, center = k[-1], c[-1], centers[-1]
-        pending = not shared[-1]
 
 
-def _rows(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=np.int64)) for x in columns], ["key", "class", "center"])
+def _cell_links(classes: np.ndarray, roots: np.ndarray, lists: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the roots of a cell's sets: each class that links to another root's, with one that stands for what it joins."""
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), sizes)
+    tokens, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(counts > 1)
+    place = np.full(len(tokens), -1, dtype=np.int64)
+    place[common] = np.arange(len(common))
+    column = place[inverse]
+    both = np.zeros((len(lists), len(lists)), dtype=np.float64)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for low in range(0, len(common), WIDTH):  # tokens in slices, so that memory is bounded by the cell
+        i, j = np.searchsorted(column, (low, low + WIDTH))
+        x = np.zeros((len(lists), WIDTH), dtype=np.float32)
+        x[owner[i:j], column[i:j] - low] = 1
+        both += x @ x.T
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    linked &= roots[:, None] != roots[None, :]
+    parent = {r: r for r in roots.tolist()}
+
+    def find(r):
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+        u, v = find(int(roots[i])), find(int(roots[j]))
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            out.append((int(classes[i]), int(classes[j])))
+    return out
 
 
 class Join:
@@ -250,7 +277,7 @@ class Join:
         return [allocate(lows[k], lows[k + 1] - 1, self.percent, held.get(k, 0) + held.get(k + 1, 0) + 1) for k in range(len(lows) - 1)]
 
     def index(self, schemes: list[Scheme]) -> DataFrame:
-        """key, class, center of all keys that several classes share."""
+        """a, b: each class with the centers (smallest classes) of the keys that it shares."""
         n, salt = self.n, self.salt
         lows = np.array([s.low for s in schemes], dtype=np.int64)
 
@@ -275,9 +302,9 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(k)), pa.array(own[whose])], ["key", "class"])
 
         if not schemes:
-            return self.docs.sparkSession.createDataFrame([], "key long, class long, center long")
+            return self.docs.sparkSession.createDataFrame([], "a long, b long")
         written = self.docs.mapInArrow(run, "key long, class long")
-        return store(written.repartition("key").sortWithinPartitions("key", "class").mapInArrow(shared_keys, "key long, class long, center long"), "keys")
+        return store(written.repartition("key").sortWithinPartitions("key", "class").mapInArrow(meetings, "a long, b long").distinct(), "meetings")
 
     def sets(self, needed: DataFrame, members: DataFrame) -> DataFrame:
         """class, tokens (64-bit numbers, sorted, as bytes) of the needed classes, from one text of each."""
@@ -333,37 +360,58 @@ class Join:
     def components(self) -> tuple[DataFrame, DataFrame]:
         """members, and node (class), root of all classes that have links."""
         members = self.members()
-        index = self.index(self.schemes(members))
-        stars = index.filter("class != center").select(F.col("class").alias("a"), F.col("center").alias("b")).distinct()
-        sets = self.sets(index.select("class").distinct(), members)
-        stars = self.compare(stars, sets)
-        found = connected_components(self.linked(stars))
-        # a key's classes that the centers haven't joined: pairs from two components that neither bound rules out
-        far = stars.select(F.col("a").alias("class"), F.col("b").alias("center"), (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far"))
-        rest = (
-            index.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-            .join(far, ["class", "center"], "left").filter("class != center")
-        )
-        open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        rest = store(rest.join(open_keys, "key").select("key", "class", "root", "far"), "rest")
-        # linked sets differ in few tokens, so tokens that a set has alone rule out most or all of its pairs
-        alone = self.alone(sets.join(rest.select("class").distinct(), "class"))
-        differ = (100 - self.percent) / (100 + self.percent)
-        rest = store(rest.join(alone, "class").filter(F.col("alone") <= differ * (F.col("size") + F.col("size") * 100 / self.percent) + 1e-6), "rest")
-        groups = rest.select("key", "root").distinct()
-        meet = groups.join(groups.withColumnRenamed("root", "other"), "key").filter("root < other")
-        side = lambda root, x: rest.select("key", F.col("root").alias(root), F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("far", "size", "alone")))
-        reach = (100 - self.percent) / 100 + 1e-9
-        more = meet.join(side("root", "a"), ["key", "root"]).join(side("other", "b"), ["key", "other"]).filter(
-            (F.abs(F.col("far_a") - F.col("far_b")) <= reach) & (F.col("alone_a") + F.col("alone_b") <= differ * (F.col("size_a") + F.col("size_b")) + 1e-6)
-        )
-        more = store(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
-        if not more.isEmpty():
-            links = self.linked(self.compare(more, sets))
-            if not links.isEmpty():
-                found = connected_components(links.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        stars = self.index(self.schemes(members))
+        sets = self.sets(stars.select(F.col("a").alias("class")).union(stars.select("b")).distinct(), members)
+        found = connected_components(self.linked(self.compare(stars, sets)))
+        links = store(self.rest(stars, found, sets), "links")
+        if not links.isEmpty():
+            found = connected_components(links.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         return members, found
 
+    def rest(self, stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between classes that share a key and are still in different components.
+
+        Sets that share a key have met its center, so all pairs to test lie among the classes of one center. A center's classes are
+        dealt into blocks, and each two blocks into one cell, that a task tests as a whole.
+        """
+        around = stars.join(found.withColumnRenamed("node", "a"), "a", "left").select(F.col("a").alias("class"), F.col("b").alias("center"), F.coalesce("root", "a").alias("root"))
+        around = self.open_groups(around)
+        # linked sets differ in few tokens, so sets with more tokens of their own among all that are left have no link
+        alone = self.alone(sets.join(around.select("class").distinct(), "class"))
+        differ = (100 - self.percent) / (100 + self.percent)
+        around = self.open_groups(around.join(alone, "class").filter(F.col("alone") <= differ * (F.col("size") + F.col("size") * 100 / self.percent) + 1e-6))
+        counts = around.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        dealt = around.join(counts, "center").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cells = dealt.select("center", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "root").join(sets, "class")
+        percent = self.percent
+
+        def run(batches):
+            cell, held = None, []
+            for batch in batches:
+                names = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+                for name, c, root, tokens in zip(names, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                    if name != cell:
+                        if held:
+                            yield _links(held, percent)
+                        cell, held = name, []
+                    held.append((c, root, np.frombuffer(tokens.as_py(), dtype=np.uint64)))
+            if held:
+                yield _links(held, percent)
+
+        by = ["center", "low", "high"]
+        return cells.repartition(*by).sortWithinPartitions(*by).select(*by, "class", "root", "tokens").mapInArrow(run, "a long, b long").distinct()
+
+    def open_groups(self, around: DataFrame) -> DataFrame:
+        """Rows of centers whose classes are in several components."""
+        several = around.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("center")
+        return store(around.select("class", "center", "root").join(several, "center"), "around")
+
+
+def _links(held: list[tuple], percent: int) -> pa.RecordBatch:
+    found = _cell_links(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], percent) if len(held) > 1 else []
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
 
 def groups(docs: DataFrame, *, doc: str = "doc_id", **options) -> DataFrame:
     """doc, n_shingles, component (the smallest doc that is reachable by links, itself included) of each row.
