@@ -120,6 +120,40 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[int, int
     return {(e, of[k]) for e, k in pairs}
 
 
+def _ordered(terms: DataFrame) -> np.ndarray:
+    return np.sort(terms.toArrow().to_pandas()["term"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _rare_enough(docs: DataFrame, terms: DataFrame, met: DataFrame, total: int) -> DataFrame:
+    """The terms that aren't known to be in too many texts to disclose anything: each task counts its own texts, which bounds the number from below."""
+    limit = met.groupBy("term").agg(F.max(F.col("both") * F.pow(total / F.col("entity_texts"), 1 - DISCLOSURE)).alias("limit"))
+    known = docs.sparkSession.sparkContext.broadcast(_ordered(terms))
+
+    def run(batches):
+        terms, seen = known.value, set()
+        counts = np.zeros(len(terms), dtype=np.int64)
+        for part in bytewords.blocks(batches, "text", 4_000_000):
+            texts = part.column(0).to_pylist()
+            new = np.zeros(len(texts), dtype=bool)
+            for i, t in enumerate(texts):
+                name = hash(t)
+                new[i] = name not in seen and len(seen) < CANDIDATES
+                if new[i]:
+                    seen.add(name)
+            w = bytewords.cut(texts, bytewords.ALNUM)
+            owner = np.repeat(np.arange(len(texts)), w.counts)
+            if len(terms):
+                at = np.minimum(np.searchsorted(terms, w.hashes), len(terms) - 1)
+                kept = (terms[at] == w.hashes) & new[owner]
+                pairs = np.unique(np.stack([at[kept], owner[kept]]), axis=1)
+                counts += np.bincount(pairs[0], minlength=len(terms))
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(terms[used].view(np.int64)), pa.array(counts[used])], ["term", "n"])
+
+    least = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.max("n").alias("n"))
+    return store(least.join(limit, "term").filter(F.col("n") <= F.col("limit") * (1 + 1e-9)).select("term"), "terms")
+
+
 def disclosing(docs: DataFrame) -> DataFrame:
     """term, share, alone (whether only texts with the entity have the term) of the terms that disclose an entity. docs: text."""
     spark = docs.sparkSession
@@ -143,7 +177,12 @@ def disclosing(docs: DataFrame) -> DataFrame:
     met = store(met.filter((F.col("both") >= SUPPORT) | (F.col("term") == 0)), "met")
     terms = met.filter(f"term != 0 and both >= {SUPPORT}").select("term").distinct()
     few = terms.limit(CANDIDATES + 1).count() <= CANDIDATES
-    wanted = spark.sparkContext.broadcast(np.sort(terms.toArrow().to_pandas()["term"].to_numpy().astype(np.int64).view(np.uint64)) if few else None)
+    own = met.filter("term = 0").select("entity", F.col("both").alias("entity_texts"))
+    total = max(docs.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0], 2)
+    met = met.filter(f"term != 0 and both >= {SUPPORT}").join(own, "entity")
+    if few:
+        terms = _rare_enough(docs, terms, met, total)
+    wanted = spark.sparkContext.broadcast(_ordered(terms) if few else None)
 
     def have(batches):
         seen: set[bytes] = set()
@@ -171,10 +210,8 @@ def disclosing(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0]).view(np.int64)), pa.array(keys[pairs[1].astype(np.int64)])], ["term", "text"])
 
     held = docs.select("text").mapInArrow(have, "term long, text long").distinct().groupBy("term").agg(F.count("*").alias("have"))
-    total = max(docs.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0], 2)
-    own = met.filter("term = 0").select("entity", F.col("both").alias("entity_texts"))
     share = F.log(F.col("both") * total / (F.col("have") * F.col("entity_texts"))) / F.log(F.lit(float(total)) / F.col("entity_texts"))
-    found = met.filter(f"term != 0 and both >= {SUPPORT}").join(held, "term").join(own, "entity").withColumn("share", F.when(F.col("entity_texts") < total, share))
+    found = met.join(held, "term").withColumn("share", F.when(F.col("entity_texts") < total, share))
     return found.filter(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max("share").alias("share"), F.max(F.col("both") >= F.col("have")).alias("alone"))
 
 
