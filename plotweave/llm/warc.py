@@ -82,7 +82,7 @@ def name_of(page: int | None) -> str:
 
 
 def page_of(name: str | None) -> int | None:
-    return int(name[10:-1]) if name and name.startswith("<urn:page:") else None
+    return int(name[10:-1].split(":")[0]) if name and name.startswith("<urn:page:") else None
 
 
 def records_of(page: int | None, url: str | None, payload: bytes, refers: int | None, segment: int = SEGMENT) -> list[bytes]:
@@ -97,6 +97,9 @@ def records_of(page: int | None, url: str | None, payload: bytes, refers: int |
     if len(block) <= segment:
         return [record("response", fields, block)]
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
+    if page is not None:  # rows may repeat, but each one's segments have an origin of their own
+        name = f"<urn:page:{page}:{uuid.uuid4().hex}>"
+        fields[0] = ("WARC-Record-ID", name)
     out = [record("response", [*fields, ("WARC-Segment-Number", "1")], parts[0])]
     for k, part in enumerate(parts[1:], 2):
         own = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {k}')}>"), ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k))]
