@@ -83,7 +83,7 @@ def extract_code(text: Column) -> Column:
     """The longest fenced block, or the whole text without one."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?is)```(?:python)?[ \t]*\n(.*?)```"), F.lit(1))
     longest = F.aggregate(blocks, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
-    return F.trim(F.when(F.size(blocks) > 0, longest).otherwise(text))
+    return F.regexp_replace(F.when(F.size(blocks) > 0, longest).otherwise(text), r"^\s+|\s+$", "")
 
 
 def code_problem(code: Column) -> Column:
