@@ -29,11 +29,20 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 8, "access": 16}
 
+#: Words that identifiers are commonly made of, labelled samples beside the corpus's own words.
+IDENTIFIER_WORDS = (
+    "get set user name from database connection value index count list string file path read write open close result error message request response handler config default update create delete find node tree parse"
+    " format width height item order session manager service controller factory builder context buffer stream event listener thread process system network server client address number double integer boolean array object"
+    " class function method property attribute element container component window button image color border margin position offset length size start end first last next previous parent child root leaf input output"
+)
+
 #: The characters that the models know; a token for them has 20 of them or more.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Nats a character by which the random model must be likelier.
 MARGIN = 0.6
+#: How many pairs the fallback on single characters counts as.
+BACKOFF = 8.0
 #: Labelled rows that the models are fitted on: random strings made, and documents whose words are identifiers.
 RANDOM_ROWS, IDENTIFIER_ROWS = 4096, 300
 
@@ -77,6 +86,9 @@ def labelled_strings(docs: DataFrame, text: str, doc: str) -> DataFrame:
     random = made.select(encoded.alias("s"), F.lit(True).alias("random"))
     picked = docs.select(F.col(doc).alias("picked")).filter("picked is not null").orderBy(F.xxhash64("picked")).limit(IDENTIFIER_ROWS)
     some = docs.join(F.broadcast(picked), F.col(doc) == F.col("picked"), "left_semi").select(F.col(text).alias("t"))
+    known = IDENTIFIER_WORDS.split()
+    common = F.array(*(F.lit(" ".join(known[k::7] * 3 + known[::-1][k::5])) for k in range(7)))
+    some = some.union(spark.range(7).select(F.element_at(common, (F.col("id") + 1).cast("int")).alias("t")))
     words = F.filter(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(r"[A-Za-z][A-Za-z]+"), F.lit(0)), lambda w: F.length(w) <= 40)
     joined = lambda sep: F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(sep), b))
     camel = F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.initcap(b)))
@@ -96,11 +108,15 @@ def fit(docs: DataFrame, *, text: str = "text", doc: str = "doc_id") -> list[flo
         if row.p and len(row.p) == 2 and row.p[0] in ALPHABET and row.p[1] in ALPHABET:
             counts[row.random][ALPHABET.index(row.p[0]) * size + ALPHABET.index(row.p[1])] = row["count"]
 
-    def chance(of: dict, k: int) -> float:
-        first = k // size * size
-        return (of.get(k, 0) + 0.5) / (sum(of.get(first + j, 0) for j in range(size)) + 0.5 * size)
+    # a pair that a model has rarely seen falls back on how often it has seen its second character
+    after = {y: [0.05 + sum(n for k, n in of.items() if k % size == j) for j in range(size)] for y, of in counts.items()}
+    before = {y: [sum(of.get(i * size + j, 0) for j in range(size)) for i in range(size)] for y, of in counts.items()}
+    every = {y: sum(v) for y, v in after.items()}
+
+    def chance(y: bool, k: int) -> float:
+        return (counts[y].get(k, 0) + BACKOFF * after[y][k % size] / every[y]) / (before[y][k // size] + BACKOFF)
 
-    return [math.log(chance(counts[True], k) / chance(counts[False], k)) for k in range(size * size)]
+    return [math.log(chance(True, k) / chance(False, k)) for k in range(size * size)]
 
 
 def suspicious(model: list[float]):

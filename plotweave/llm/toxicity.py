@@ -178,6 +178,8 @@ class Trees:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated, with a trace of the margin, so that texts of one step keep their order."""
+        if not len(self.leaf):
+            return np.full(len(x), self.share[0])
         m = self.margin(x)
         raw = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
         share = np.interp(m, self.at, self.share) if len(self.at) else raw
