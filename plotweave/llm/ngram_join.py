@@ -39,8 +39,8 @@ _FACTORS = bytewords.mix(np.arange(1, 65, dtype=np.uint64)) | U(1)
 PAIR_COST = 60.0
 #: Classes that a task remembers, so as to write the keys of copies once.
 SEEN = 1_000_000
-#: Classes in a block of a center's, and tokens in a slice of a cell.
-BLOCK, WIDTH = 256, 2_048
+#: Classes and bytes of tokens in a block of a center's (about, as they are dealt by hash), and tokens in a slice of a cell.
+BLOCK, BLOCK_BYTES, WIDTH = 1_024, 8_000_000, 2_048
 
 
 @dataclass(frozen=True)
@@ -380,7 +380,7 @@ class Join:
         alone = self.alone(sets.join(around.select("class").distinct(), "class"))
         differ = (100 - self.percent) / (100 + self.percent)
         around = self.open_groups(around.join(alone, "class").filter(F.col("alone") <= differ * (F.col("size") + F.col("size") * 100 / self.percent) + 1e-6))
-        counts = around.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        counts = around.groupBy("center").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks"))
         dealt = around.join(counts, "center").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         cells = dealt.select("center", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "root").join(sets, "class")
@@ -405,7 +405,7 @@ class Join:
     def open_groups(self, around: DataFrame) -> DataFrame:
         """Rows of centers whose classes are in several components."""
         several = around.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("center")
-        return store(around.select("class", "center", "root").join(several, "center"), "around")
+        return store(around.join(several, "center"), "around")
 
 
 def _links(held: list[tuple], percent: int) -> pa.RecordBatch:
