@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import fresh
+from plotweave.llm.common import fresh, store
 
 #: Copies that the inversion tells apart: beyond a mean of 8 the row's whole copies are counted apart, so the rest is below this.
 TERMS, WHOLE = 48, 8.0
@@ -42,16 +42,16 @@ def poisson(mean: Column, u: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, source: str) -> DataFrame:
     """source, rate: the target repetition rate of each source. Without weights all sources have the same."""
-    counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
-    every = counts.agg(F.sum("n").alias("all"), F.count("*").alias("sources"))
+    counts = store(docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n")), "sources")  # a row a source; counted once
+    every, sources = counts.agg(F.sum("n"), F.count("*")).first()
     if weights is None:
-        weight = 1 / F.col("sources")
+        weight = F.lit(1 / max(sources, 1))
     else:
         total = sum(weights.values())
         weight = F.lit(0.0)
         for k, v in weights.items():
             weight = F.when(F.col("source") == k, v / total).otherwise(weight)
-    return counts.crossJoin(F.broadcast(every)).select("source", (weight * F.col("all") / F.col("n")).alias("rate"))  # one row of totals
+    return counts.select("source", (weight * (every or 0) / F.col("n")).alias("rate"))
 
 
 def replicate(docs: DataFrame, *, weights: dict[str, float] | None = None, source: str = "source", doc: str = "doc_id", seed: str = "mix", cap_rate: float | None = None, shuffle: bool = True) -> tuple[DataFrame, str]:
