@@ -60,7 +60,7 @@ def test_entities_and_rejects(spark):
         ([entity("underground-belt", 0, 0, 4, type="input"), entity("underground-belt", 5, 0, 4, type="output")], []),
         ([entity("underground-belt", 0, 0, 4, type="input"), entity("underground-belt", 6, 0, 4, type="output")], ["lone_underground", "lone_underground"]),
         ([*BELTS, entity("inserter", 1, 1), MACHINE], ["no_poles"]),
-        ([*BELTS, entity("inserter", 1, 1), MACHINE, entity("small-electric-pole", 9, 9)], ["inserter_ground", "unpowered"][1:]),
+        ([*BELTS, entity("inserter", 1, 1), MACHINE, entity("small-electric-pole", 9, 9)], ["belt_end", "unpowered"]),
         ([entity("small-electric-pole", 0, 0), entity("small-electric-pole", 20, 0)], ["pole_islands"]),
         ([entity("burner-inserter", 0, 1), entity("stone-wall", 0, 0), entity("iron-chest", 0, 2)], ["inserter_target"]),
         ([], []),
