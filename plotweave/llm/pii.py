@@ -3,9 +3,11 @@
 Fixed patterns find protected entities: mail addresses, IP addresses, payment cards and phone numbers. The corpus then tells which
 other terms reveal them. For each entity and each term within WINDOW words of it, the distinct texts with both are counted,
 and for each such term the distinct texts that have it anywhere. The pointwise mutual information of term and entity, as a share of
-the entity's own information, -log p(entity), says how much of the entity the term discloses: 1 if it occurs with the entity alone. Terms of
-SUPPORT texts or more whose share is over the threshold are spans of kind term wherever they occur: generalised where other texts
-have them too, removed where only the entity's have.
+the entity's own information, -log p(entity), says how much of the entity the term discloses: 1 if it occurs with the entity alone. Terms whose
+share is over the threshold, and whose meeting with the entity chance doesn't explain at the level CHANCE, are spans of kind term wherever
+they occur: generalised where other texts have them too, removed where only the entity's have. No number of texts is needed: an
+entity of one text discloses too. Chance is Chernoff's bound on the share of the entity's texts that would have the term if they
+were drawn from all texts; for an entity of one text that is the share of all texts that have the term.
 
 Counts cover all rows; copies of a text count once. Pairs are counted within a window, so that a text's cost grows
 with its length only, and are added up before and after the shuffle. Terms that disclose are broadcast in chunks of bounded
@@ -19,6 +21,8 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
+import math
 import re
 
 import numpy as np
@@ -31,8 +35,8 @@ from plotweave.llm import bytewords
 from plotweave.llm.common import annotate, store
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words to either side of an entity; distinct texts that must have term and entity; share of the entity's information.
-WINDOW, SUPPORT, DISCLOSURE = 10, 5, 0.9
+#: Words to either side of an entity; share of the entity's information; level of significance.
+WINDOW, DISCLOSURE, CHANCE = 10, 0.9, 0.05
 #: Candidate terms, and terms that disclose, in a broadcast; more are handled without one, or in several.
 CANDIDATES, CHUNK = 2_000_000, 2_000_000
 #: The patterns of the base kinds after the first character classes, and what stands for a span.
@@ -96,7 +100,7 @@ def words_of(text: str) -> list[tuple[int, int]]:
 
 
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
-    """(entity, hash of a word near it) of a text; words inside of spans, short ones and numbers are left out."""
+    """(entity, hash of a word near it) of a text; words inside of spans are left out."""
     places = words_of(text)
     starts = [a for a, _ in places]
     lowered = text.translate(_LOWER)
@@ -111,7 +115,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[int, int
             inside[j] = True
             j += 1
         near.append((entity(text, s), range(max(0, i - WINDOW), min(len(places), j + WINDOW))))
-    pairs = {(e, k) for e, ks in near for k in ks if not inside[k] and places[k][1] - places[k][0] >= 4}
+    pairs = {(e, k) for e, ks in near for k in ks if not inside[k]}
     if not pairs:
         return set()
     used = sorted({k for _, k in pairs})
@@ -154,6 +158,13 @@ def _rare_enough(docs: DataFrame, terms: DataFrame, met: DataFrame, total: int)
     return store(least.join(limit, "term").filter(F.col("n") <= F.col("limit") * (1 + 1e-9)).select("term"), "terms")
 
 
+def _chance(total: int):
+    """Chernoff's bound on the log of the chance that entity_texts texts, drawn from all, include both or more that have the term."""
+    both, of, have = (F.col(c).cast("double") for c in ("both", "entity_texts", "have"))
+    rest = F.when(both < of, (of - both) * F.log((of - both) * total / (of * F.greatest(total - have, F.lit(1.0))))).otherwise(0.0)
+    return F.when(both * total <= of * have, 0.0).otherwise(-(both * F.log(both * total / (of * have)) + rest))
+
+
 def disclosing(docs: DataFrame) -> DataFrame:
     """term, share, alone (whether only texts with the entity have the term) of the terms that disclose an entity. docs: text."""
     spark = docs.sparkSession
@@ -174,12 +185,13 @@ def disclosing(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["entity", "term", "text"])
 
     met = docs.select("text").mapInArrow(near, "entity long, term long, text long").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    met = store(met.filter((F.col("both") >= SUPPORT) | (F.col("term") == 0)), "met")
-    terms = met.filter(f"term != 0 and both >= {SUPPORT}").select("term").distinct()
+    met = store(met, "met")
+    terms = met.filter("term != 0").select("term").distinct()
     few = terms.limit(CANDIDATES + 1).count() <= CANDIDATES
     own = met.filter("term = 0").select("entity", F.col("both").alias("entity_texts"))
-    total = max(docs.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0], 2)
-    met = met.filter(f"term != 0 and both >= {SUPPORT}").join(own, "entity")
+    body = F.coalesce("text", F.lit(""))
+    total = max(docs.select(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b")).distinct().count(), 2)
+    met = met.filter("term != 0").join(own, "entity")
     if few:
         terms = _rare_enough(docs, terms, met, total)
     wanted = spark.sparkContext.broadcast(_ordered(terms) if few else None)
@@ -212,7 +224,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     held = docs.select("text").mapInArrow(have, "term long, text long").distinct().groupBy("term").agg(F.count("*").alias("have"))
     share = F.log(F.col("both") * total / (F.col("have") * F.col("entity_texts"))) / F.log(F.lit(float(total)) / F.col("entity_texts"))
     found = met.join(held, "term").withColumn("share", F.when(F.col("entity_texts") < total, share))
-    return found.filter(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max("share").alias("share"), F.max(F.col("both") >= F.col("have")).alias("alone"))
+    return found.filter((F.col("share") >= DISCLOSURE) & (_chance(total) <= math.log(CHANCE))).groupBy("term").agg(F.max("share").alias("share"), F.max(F.col("both") >= F.col("have")).alias("alone"))
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("stop", T.LongType()), T.StructField("alone", T.BooleanType())]))
@@ -252,7 +264,8 @@ def scan(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, str]:
                 if mine.any():
                     places = words_of(t)
                     more = [(*places[k], mine[k] == 2) for k in np.flatnonzero(mine).tolist()]
-                    spans = sorted(spans + [(a, 4, b, alone) for a, b, alone in more if not any(s[0] < b and a < s[2] for s in spans)])
+                    starts, ends = [s[0] for s in spans], [-1, *itertools.accumulate((s[2] for s in spans), max)]
+                    spans = sorted(spans + [(a, 4, b, alone) for a, b, alone in more if ends[bisect.bisect_left(starts, b)] <= a])
                 out.append([{"start": a, "rank": r, "stop": b, "alone": bool(x)} for a, r, b, x in spans])
             yield part, pa.array(out, type=kind)
 

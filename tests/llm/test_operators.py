@@ -281,6 +281,18 @@ def test_op8_disclosing_terms(spark):
     assert pii.digest(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_op8_entities_of_few_texts_disclose(spark):
+    r = random.Random(10)
+    texts = [f"{' '.join(words(r, 12))} quixley lives at 10.20.30.40 {' '.join(words(r, 12))}"] + [" ".join(words(r, 40)) for _ in range(300)] + [None, ""]
+    texts += [f"Vor asks bob{k} {' '.join(words(r, 5))} to ring +1 (988) 555-2485" for k in range(3)] + ["vor alone"]
+    found = [x.spans for x in pii.digest(docs(spark, texts * 2)).orderBy("doc_id").collect()]
+    begin = texts[0].index("quixley")
+    assert f"term:{begin}:{begin + 7}" in found[0] and not any(found[1:303]) and found[:307] == found[307:]
+    assert "term:0:3" in found[303] and found[306] == "term:0:3"
+    few = pii.disclosing(docs(spark, ["a@b.c here", "zed 10.0.0.1"]).select("text"))
+    assert few.count() == 0  # two texts can't tell chance from disclosure
+
+
 def test_op9_scores(spark):
     r = random.Random(6)
     texts = [None, "", "Unseen!!", LONG] + [" ".join(f"{'ab'[i % 2]}{r.randrange(30)}" for _ in range(r.randint(1, 80))) for i in range(300)] + ["a1 a2"] * 3
