@@ -3,8 +3,10 @@
 Fixed patterns find assigned secrets, access keys and long hexadecimal runs. Beyond them, each long token is scored by two
 character Markov models of first order, one of random strings and one of ordinary identifiers; a token whose
 log-likelihood ratio a character exceeds a threshold is a span of kind markov. The models are counted from labelled
-samples: random strings made from SHA-256 digests in the usual encodings, and words of the corpus, alone and joined as
-identifiers join them. They have at most 68 * 68 entries, whatever the corpus.
+samples: random strings made from SHA-256 digests in the usual encodings, and the words of all documents, alone and joined as
+identifiers join them. They have at most 68 * 68 entries, whatever the corpus. Words are added up before their pairs of characters are
+counted; a corpus of more pairs than the random side's is scaled down to as many, so that the fallback weighs the same at every
+table size.
 
 Places are code points. A kind's places come from the lengths of the pieces between its matches, so that they are exact
 without a scan for each match.
@@ -31,7 +33,7 @@ LEAST = {"assign": 8, "access": 16}
 
 #: Words that identifiers are commonly made of, labelled samples beside the corpus's own words.
 IDENTIFIER_WORDS = (
-    "get set user name from database connection value index count list string file path read write open close result error message request response handler config default update create delete find node tree parse"
+    "set value index count list string file path read write open close result error message request response handler config default update create delete find node tree parse"
     " format width height item order session manager service controller factory builder context buffer stream event listener thread process system network server client address number double integer boolean array object"
     " class function method property attribute element container component window button image color border margin position offset length size start end first last next previous parent child root leaf input output"
 )
@@ -43,8 +45,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 MARGIN = 0.6
 #: How many pairs the fallback on single characters counts as.
 BACKOFF = 8.0
-#: Labelled rows that the models are fitted on: random strings made, and documents whose words are identifiers.
-RANDOM_ROWS, IDENTIFIER_ROWS = 4096, 300
+#: Random strings made that the models are fitted on.
+RANDOM_ROWS = 4096
 
 
 def _matches(docs: DataFrame, text: Column, name: str) -> DataFrame:
@@ -75,38 +77,50 @@ def _spans(matches: Column, kind: str, keep=None) -> Column:
     return F.when(F.size(matches.found) > 0, placed).otherwise(F.array().cast(empty))
 
 
-def labelled_strings(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    """s, random: the labelled samples that the models are counted from."""
+def identifier_strings(docs: DataFrame, text: str) -> DataFrame:
+    """s, n: the words of all texts, alone and joined to their neighbours, as strings (a joint is two characters) and how often they occur."""
+    words = F.filter(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[A-Za-z][A-Za-z]+"), F.lit(0)), lambda w: F.length(w) <= 40)
+    found = docs.select(words.alias("w")).filter(F.size("w") > 0)
+    # the word, and the capital of the word behind it
+    beside = F.zip_with(F.col("w"), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("word"), F.upper(F.substring(b, 1, 1)).alias("then")))
+    placed = found.select(F.posexplode(beside).alias("at", "x")).groupBy(F.col("x.word").alias("word"), F.col("x.then").alias("then"), (F.col("at") == 0).alias("first"))
+    n, before, behind = F.col("n"), F.when(F.col("then").isNull(), 0).otherwise(1), F.when(F.col("first"), 0).otherwise(1)
+    # by _ - / the word as it is is joined on both sides, in camel case it is on the right with a capital
+    parts = [(F.col("word"), n * (1 + 4 * before + 3 * behind)), (F.initcap("word"), n * behind), (F.concat(F.substring("word", -1, 1), "then"), n * before)]
+    parts += [(F.concat(F.substring("word", -1, 1), F.lit(sep)), n * before) for sep in "_-/"] + [(F.concat(F.lit(sep), F.substring("word", 1, 1)), n * behind) for sep in "_-/"]
+    strings = placed.agg(F.count("*").alias("n")).select(F.explode(F.array(*(F.struct(s.alias("s"), k.alias("n")) for s, k in parts))).alias("x"))
+    return strings.select("x.s", "x.n").filter("n > 0").groupBy("s").agg(F.sum("n").alias("n"))
+
+
+def labelled_strings(docs: DataFrame, text: str) -> DataFrame:
+    """s, n, kind (random, common or corpus): the labelled samples that the models are counted from."""
     spark = docs.sparkSession
     made = spark.range(RANDOM_ROWS).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256).alias("h"))
     encoded = F.explode(F.array(
         F.col("h"), F.base64(F.unhex("h")), F.translate(F.base64(F.unhex("h")), "+/=", "-_"), F.regexp_replace(F.base64(F.unhex("h")), "[^A-Za-z0-9]", ""),
         F.upper(F.regexp_replace(F.base64(F.unhex("h")), "[^A-Za-z0-9]", "")),
     ))
-    random = made.select(encoded.alias("s"), F.lit(True).alias("random"))
-    picked = docs.select(F.col(doc).alias("picked")).filter("picked is not null").orderBy(F.xxhash64("picked")).limit(IDENTIFIER_ROWS)
-    some = docs.join(F.broadcast(picked), F.col(doc) == F.col("picked"), "left_semi").select(F.col(text).alias("t"))
+    random = made.select(encoded.alias("s"), F.lit(1).cast("long").alias("n"), F.lit("random").alias("kind"))
     known = IDENTIFIER_WORDS.split()
     common = F.array(*(F.lit(" ".join(known[k::7] * 3 + known[::-1][k::5])) for k in range(7)))
-    some = some.union(spark.range(7).select(F.element_at(common, (F.col("id") + 1).cast("int")).alias("t")))
-    words = F.filter(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(r"[A-Za-z][A-Za-z]+"), F.lit(0)), lambda w: F.length(w) <= 40)
-    joined = lambda sep: F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(sep), b))
-    camel = F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.initcap(b)))
-    plain = some.select(words.alias("w")).filter(F.size("w") > 0).select(F.explode(F.concat("w", joined("_"), joined("-"), joined("/"), camel)).alias("s"), F.lit(False).alias("random"))
-    return random.union(plain.filter("s is not null"))
+    common = identifier_strings(spark.range(7).select(F.element_at(common, (F.col("id") + 1).cast("int")).alias("t")), "t")
+    return random.union(common.select("s", "n", F.lit("common"))).union(identifier_strings(docs, text).select("s", "n", F.lit("corpus")))
 
 
-def fit(docs: DataFrame, *, text: str = "text", doc: str = "doc_id") -> list[float]:
+def fit(docs: DataFrame, *, text: str = "text") -> list[float]:
     """The log-likelihood ratio of each pair of characters, first * size + second in the alphabet's order."""
     size = len(ALPHABET)
     # the characters are bound as a lambda's argument, else they would be split anew for each pair
     held = F.array(F.filter(F.split("s", ""), lambda c: c != ""))
     steps = F.transform(held, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b)))
-    pairs = labelled_strings(docs, text, doc).filter(F.length("s") > 1).select("random", F.explode(F.flatten(steps)).alias("p"))
-    counts = {True: {}, False: {}}
-    for row in pairs.groupBy("random", "p").count().collect():  # two characters and a label: bounded by the alphabet
+    pairs = labelled_strings(docs, text).filter(F.length("s") > 1).select("kind", "n", F.explode(F.flatten(steps)).alias("p"))
+    found = {"random": {}, "common": {}, "corpus": {}}
+    for row in pairs.groupBy("kind", "p").agg(F.sum("n").alias("n")).collect():  # two characters and a label: bounded by the alphabet
         if row.p and len(row.p) == 2 and row.p[0] in ALPHABET and row.p[1] in ALPHABET:
-            counts[row.random][ALPHABET.index(row.p[0]) * size + ALPHABET.index(row.p[1])] = row["count"]
+            found[row.kind][ALPHABET.index(row.p[0]) * size + ALPHABET.index(row.p[1])] = row["n"]
+    scale = min(1.0, sum(found["random"].values()) / max(sum(found["corpus"].values()), 1))
+    plain = {k: found["common"].get(k, 0) + scale * found["corpus"].get(k, 0) for k in found["common"].keys() | found["corpus"].keys()}
+    counts = {True: found["random"], False: plain}
 
     # a pair that a model has rarely seen falls back on how often it has seen its second character
     after = {y: [0.05 + sum(n for k, n in of.items() if k % size == j) for j in range(size)] for y, of in counts.items()}
@@ -132,9 +146,9 @@ def suspicious(model: list[float]):
     return lambda m: ratio(m) >= MARGIN * F.length(m)
 
 
-def scan(docs: DataFrame, model: list[float] | None = None, *, text: str = "text", doc: str = "doc_id") -> tuple[DataFrame, str]:
+def scan(docs: DataFrame, model: list[float] | None = None, *, text: str = "text") -> tuple[DataFrame, str]:
     """docs with a struct column (assign, access, hex, markov: spans by kind; base, spans: all, in order), and its name."""
-    model = fit(docs, text=text, doc=doc) if model is None else model
+    model = fit(docs, text=text) if model is None else model
     name = fresh(docs, "secret_spans")
     found = _matches(docs, F.coalesce(F.col(text), F.lit("")), name)
     keep = {"assign": lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST["assign"], "access": lambda m: F.length(m) >= LEAST["access"], "hex": None, "markov": suspicious(model)}

@@ -254,6 +254,27 @@ def test_op7_spans(spark):
     assert kept[1] == "" and kept[0] is None and kept[3] == "[SECRET] AKIASHORT" and kept[16] == texts[16]
 
 
+def test_op7_words_of_all_documents(spark):
+    texts = ["Ab cdE fgh", "one", None, "", "x yz " + "q" * 41 + " zy", "é ab_cd"]
+    want = collections.Counter()
+    for t in texts:
+        w = [x for x in re.findall("[A-Za-z][A-Za-z]+", t or "") if len(x) <= 40]
+        made = w + [a + sep + b for a, b in zip(w, w[1:], strict=False) for sep in "_-/"] + [a + b.capitalize() for a, b in zip(w, w[1:], strict=False)]
+        want.update(s[i : i + 2] for s in made for i in range(len(s) - 1))
+    got = collections.Counter()
+    for r in secrets.identifier_strings(docs(spark, texts), "text").collect():
+        got.update({p: r.n * k for p, k in collections.Counter(r.s[i : i + 2] for i in range(len(r.s) - 1)).items()})
+    assert got == want
+    # a style that one document of many has is known, wherever the document is, and whether it has an id
+    token, filler = "zqxjkvwzqxjkvwzqxjkvwz", ["plain words of a text " + "and more of them " * 20] * 1200
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(filler)] + [(None, f"{token} " * 400)], "doc_id long, text string")
+    assert [r.spans for r in secrets.digest(df).filter("doc_id is null").collect()] == [""]
+    model = secrets.fit(df.filter("doc_id is not null"))
+    found, name = secrets.scan(df.filter("doc_id is null"), model)
+    assert found.selectExpr(f"size({name}.markov) AS n").first().n == 400
+    assert not {"get", "user", "name", "from", "database", "connection"} & set(secrets.IDENTIFIER_WORDS.split())
+
+
 def plain_pii(text):
     text, digits = text or "", lambda s: re.sub("[^0-9]", "", s)
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
