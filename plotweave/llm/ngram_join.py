@@ -309,8 +309,20 @@ class Join:
     def sets(self, needed: DataFrame, members: DataFrame) -> DataFrame:
         """class, tokens (64-bit numbers, sorted, as bytes) of the needed classes, from one text of each."""
         n, salt = self.n, self.salt
-        one = members.filter("class is not null and doc is not null").groupBy("class").agg(F.min("doc").alias("doc"))
-        picked = needed.join(one, "class").select("doc", "class")
+        one = members.filter("class is not null").groupBy("class").agg(F.min("doc").alias("doc"))
+        picked = store(needed.join(one, "class").select("doc", "class"), "picked")
+
+        def named(batches):
+            seen: set[int] = set()
+            for part in bytewords.blocks(batches, "text"):
+                own = [x and x[0] for x in classes(_texts(part, "text"), salt)]
+                first = []
+                for i, x in enumerate(own):
+                    if x is not None and x not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(x)
+                        first.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in first], pa.int64()), part.column(part.schema.get_field_index("text")).take(pa.array(first, pa.int64()))], ["class", "text"])
 
         def run(batches):
             for part in bytewords.blocks(batches, "text"):
@@ -320,7 +332,11 @@ class Join:
                 right = [i for i, (x, y) in enumerate(zip(own, part.column(0).to_pylist(), strict=True)) if x == y]  # an id may have several texts
                 yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in right], pa.int64()), pa.array([raw[8 * s.at[i] : 8 * s.at[i + 1]] for i in right], pa.binary())], ["class", "tokens"])
 
-        found = self.docs.join(picked, "doc").select("class", "text").mapInArrow(run, "class long, tokens binary")
+        texts = self.docs.join(picked, "doc").select("class", "text")
+        nameless = picked.filter("doc is null").select("class")
+        if not nameless.isEmpty():  # classes whose rows all have null ids
+            texts = texts.union(self.docs.filter("doc is null").select("text").mapInArrow(named, "class long, text string").join(nameless, "class").select("class", "text"))
+        found = texts.mapInArrow(run, "class long, tokens binary")
         return store(found.groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
 
     def alone(self, sets: DataFrame) -> DataFrame:
@@ -426,9 +442,27 @@ def groups(docs: DataFrame, *, doc: str = "doc_id", **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, doc: str = "doc_id", **options) -> DataFrame:
-    """docs with the smallest id of each group only; rows with one id are kept or dropped together."""
-    keep = groups(docs, doc=doc, **options).filter("doc = component").select("doc").distinct()
-    name = fresh(docs, "kept_doc")
-    keep = keep.withColumnRenamed("doc", name)
-    kept = docs.join(keep, docs[doc] == keep[name], "left_semi")
-    return kept
+    """docs with exactly one row of each group: of those with the smallest id (null ids come last), the one with the lowest hash of its columns.
+
+    Rows with one id are apart where their texts are in different groups; repeated rows are copies. Rows with an empty set link with nothing and stay.
+    """
+    one, two = fresh(docs, "row_hash_one"), fresh(docs, "row_hash_two")
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString() and docs.schema[c].dataType.simpleString() != "variant"]
+    tagged = docs.withColumns({one: F.xxhash64(*plain), two: F.xxhash64(F.lit(1), *plain)})
+    row = F.struct(F.col(doc).isNull().alias("nameless"), F.col(doc).alias("doc"), F.col(one).alias("one"), F.col(two).alias("two"))
+    name = fresh(tagged, "row")
+    members, found = Join(tagged.withColumn(name, row), doc=name, **options).components()
+    rows = members.join(found.withColumnRenamed("node", "class"), "class", "left").select(F.coalesce("root", "class").alias("group"), F.col("doc").alias("row"))
+    rows = rows.groupBy("group", "row").agg(F.count("*").alias("n"))  # so that copies don't meet in one task
+    best = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct("row", "n")).alias("x")).select("x.row", "x.n")
+    keep = store(best.union(rows.filter("group is null").select("row", F.lit(1).cast("long"))).select("row.doc", "row.one", "row.two", "n"), "kept")
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        some = some.select(*(F.col(c).alias(f"kept {c}") for c in ("doc", "one", "two")))
+        same = tagged[doc].eqNullSafe(some["kept doc"]) & (tagged[one] == some["kept one"]) & (tagged[two] == some["kept two"])
+        return tagged.join(some, same, "left_semi")
+
+    kept, repeated = rows_of(keep.filter("n = 1")), keep.filter("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.union(rows_of(repeated).dropDuplicates([doc, one, two]))
+    return kept.drop(one, two)

@@ -126,6 +126,26 @@ def test_op1_keeps_one_and_other_columns(spark):
     assert ngram_join.keep_one(df.limit(0), n=5, percent=80).count() == 0
 
 
+def test_op1_keeps_one_row_of_each_group(spark):
+    r = random.Random(12)
+    base = words(r, 60, 10**6)
+    near = [" ".join([*base[: 60 - k], *(f"n{k}{i}" for i in range(k))]) for k in range(4)]
+    alone = " ".join(words(r, 30, 10**6))
+    rows = [(None, alone), (None, "just one"), (None, "just  ONE"), (5, "five texts here"), (5, "five texts here"), (6, "other text"), (6, "another text here")]
+    rows += [(7, near[0]), (8, near[1]), (8, "a text of its own"), (None, near[2]), (9, near[0]), (None, None), (None, "")]
+    df = spark.createDataFrame([(*x, {"k": 1}) for x in rows], "doc_id long, text string, more map<string,int>")
+    kept = ngram_join.keep_one(df, n=5, percent=80)
+    got = collections.Counter((x.doc_id, x.text) for x in kept.collect())
+    other = [k for k in got if k[1] in ("just one", "just  ONE")]
+    assert len(other) == 1 and kept.columns == df.columns
+    assert got == collections.Counter([(None, alone), other[0], (5, "five texts here"), (6, "other text"), (6, "another text here"), (7, near[0]), (8, "a text of its own"), (None, None), (None, "")])
+    # a link that runs through a text without an id
+    chain = [" ".join(base[k : k + 40]) for k in (0, 4, 8)]
+    ids = spark.createDataFrame([(1, chain[0]), (None, chain[1]), (2, chain[2])], "doc_id long, text string")
+    assert {x.doc: x.component for x in ngram_join.groups(ids, n=2, percent=80).collect()} == {1: 1, None: 1, 2: 1}
+    assert [x.doc_id for x in ngram_join.keep_one(ids, n=2, percent=80).collect()] == [1]
+
+
 def test_words_are_those_of_the_pattern():
     texts = ["Ab c\td\n\né é", None, "", "x" * 40 + " y", " z  q", "ABCDEFGH abcdefgh ABCDEFGHI"]
     for table, pattern in ((bytewords.WHITESPACE, WORDS), (bytewords.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
