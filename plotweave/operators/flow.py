@@ -63,7 +63,7 @@ def inserter_edges(entities: DataFrame) -> DataFrame:
     return found.withColumn("src", F.explode(source)).select(L, "idx", "src", F.when(belt("to"), place("b", "to", far)).otherwise(place("i", "to")).alias("dst"))
 
 
-def simulate(entities: DataFrame, recipes: DataFrame, inputs: DataFrame, rounds: int = 200) -> DataFrame:
+def simulate(entities: DataFrame, recipes: DataFrame, inputs: DataFrame, rounds: int | None = None) -> DataFrame:
     """layout_id, node, item: everything that reaches each place. inputs: layout_id, node, item given from outside.
 
     Items spread along lanes and hands; a machine that has received all ingredients of its recipe gives its products; machines take their ingredients
@@ -82,7 +82,7 @@ def simulate(entities: DataFrame, recipes: DataFrame, inputs: DataFrame, rounds:
     bound = hands.join(wants.select(L, F.col("node").alias("dst"), "item").distinct(), [L, "dst"]).select(L, "src", "dst", F.lit("only").alias("rule"), F.col("item").alias("rule_item"))
     edges = graphs.cut(edges.union(free).union(bound).distinct())
     known = graphs.spread(inputs.select(L, "node", "item"), edges, [L], rounds)
-    for _ in range(rounds):
+    for _ in graphs.counted(rounds):
         had = known.join(wants, [L, "node", "item"]).groupBy(L, "idx").agg(F.count_distinct("item").alias("had"))
         works = had.join(need, [L, "idx"]).filter("had = need").select(L, "idx")
         made = gives.join(works, [L, "idx"]).select(L, place("o", "idx").alias("node"), "item").join(known, [L, "node", "item"], "left_anti")

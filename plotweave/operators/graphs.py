@@ -1,10 +1,14 @@
 """Graph operators over all layouts at once: reachability, components and monotone fixpoints, one join a round for all of them.
 
-Each round joins only what the last round found. Lineage is cut through the shared checkpoint folder.
+Each round joins only what the last round found. Lineage is cut through the shared checkpoint folder. Rounds go on until nothing is
+new; where a caller limits them, an operator raises rather than return a part.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reachable(starts: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 200) -> DataFrame:
+def counted(rounds: int | None) -> Iterator[int]:
+    """1, 2 and on; raises after so many rounds, if there is a limit."""
+    for k in itertools.count(1):
+        if rounds is not None and k > rounds:
+            raise RuntimeError(f"no fixed point after {rounds} rounds")
+        yield k
+
+
+def reachable(starts: DataFrame, edges: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:
     """keys and node with depth: all nodes reached from the starts (keys, node) along edges (keys, src, dst), and in how many steps."""
     seen = cut(starts.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
     last = seen
-    for depth in range(1, rounds + 1):
+    for depth in counted(rounds):
         step = last.select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
         last = cut(step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if last.isEmpty():
@@ -32,11 +44,11 @@ def reachable(starts: DataFrame, edges: DataFrame, keys: list[str], rounds: int
     return seen
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:
     """keys, node, root (the smallest node of the component). nodes: keys, node; edges: keys, a, b."""
     both = cut(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(nodes.select(*keys, "node").distinct().withColumn("root", F.col("node")))
-    for _ in range(rounds):
+    for _ in counted(rounds):
         near = both.join(labels.select(*keys, F.col("node").alias("b"), "root"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = labels.join(near, [*keys, "node"], "left").withColumn("new", F.least("root", F.coalesce("near", "root")))
         # pointer jumping: a root that got a smaller root passes it on
@@ -49,7 +61,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int
     return labels
 
 
-def spread(facts: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 200) -> DataFrame:
+def spread(facts: DataFrame, edges: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:
     """The least fixpoint of item sets on a graph: facts (keys, node, item) flow along edges (keys, src, dst, rule, rule_item).
 
     rule null lets every item pass, 'only' the rule's item, 'except' all others. Semi-naive: a round joins the last round's new facts only.
@@ -57,7 +69,7 @@ def spread(facts: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 20
     known = cut(facts.select(*keys, "node", "item").distinct())
     last = known
     passes = F.col("rule").isNull() | ((F.col("rule") == "only") == (F.col("item") == F.col("rule_item")))
-    for _ in range(rounds):
+    for _ in counted(rounds):
         step = last.select(*keys, F.col("node").alias("src"), "item").join(edges, [*keys, "src"]).filter(passes).select(*keys, F.col("dst").alias("node"), "item").distinct()
         last = cut(step.join(known, [*keys, "node", "item"], "left_anti"))
         if last.isEmpty():
@@ -66,10 +78,10 @@ def spread(facts: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 20
     return known
 
 
-def pruned(edges: DataFrame, keep: DataFrame, keys: list[str], rounds: int = 200) -> DataFrame:
+def pruned(edges: DataFrame, keep: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:
     """Undirected edges (a, b) left after leaves that aren't kept (keys, node) are removed until none is left."""
     now = cut(edges)
-    for _ in range(rounds):
+    for _ in counted(rounds):
         ends = now.select(*keys, F.col("a").alias("node")).union(now.select(*keys, F.col("b").alias("node")))
         leaves = ends.groupBy(*keys, "node").count().filter("count <= 1").join(keep, [*keys, "node"], "left_anti").select(*keys, "node")
         leaves = cut(leaves)

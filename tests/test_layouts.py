@@ -1,3 +1,4 @@
+import inspect
 import json
 
 import pytest
@@ -105,3 +106,16 @@ def test_ingest_reasons(spark):
     rows = [("a", 9, [], good), ("b", 2, [], good), ("c", 9, ["/mods/modded/"], good), ("Rare thing", 9, [], good), ("e", 9, ["/version/0,15/"], good), ("f", 9, [], "0x"), ("g", 9, [], None), ("h", 9, [], encoded([]))]
     got = [r.reason for r in S.ingest_reason(spark.createDataFrame(rows, "title string, favorites int, tags array<string>, blueprint_string string")).collect()]
     assert got == ["ok", "low favorites", "modded", "expansion", "old version", "not decodable or a collection", "no string", "empty"]
+
+
+def test_graphs_run_to_the_end(spark):
+    lanes = spark.range(6).selectExpr("1 AS l", "cast(id AS int) AS src", "cast(id + 1 AS int) AS dst", "cast(null AS string) AS rule", "cast(null AS string) AS rule_item").coalesce(1)
+    start, none = spark.createDataFrame([(1, 0)], "l int, node int").coalesce(1), spark.createDataFrame([], "l int, node int")
+    facts, ends = start.selectExpr("*", "'a' AS item"), lanes.selectExpr("l", "src AS a", "dst AS b")
+    assert graphs.spread(facts, lanes, ["l"]).count() == 7
+    # a part is never returned as the whole: no limit unless one is given, and an error beyond it
+    runs = {graphs.reachable: (start, lanes), graphs.spread: (facts, lanes), graphs.pruned: (ends, none), graphs.components: (lanes.selectExpr("l", "src AS node"), ends)}
+    for run, tables in runs.items():
+        assert inspect.signature(run).parameters["rounds"].default is None
+        with pytest.raises(RuntimeError):
+            run(*tables, ["l"], rounds=1)
