@@ -310,7 +310,8 @@ class Join:
         """class, tokens (64-bit numbers, sorted, as bytes) of the needed classes, from one text of each."""
         n, salt = self.n, self.salt
         one = members.filter("class is not null").groupBy("class").agg(F.min("doc").alias("doc"))
-        picked = store(needed.join(one, "class").select("doc", "class"), "picked")
+        # ids meet by a short hash, whatever their type; of the rows that share it, those of the class are taken below
+        picked = store(needed.join(one, "class").select(F.when(F.col("doc").isNotNull(), F.xxhash64("doc")).alias("id"), "class"), "picked")
 
         def named(batches):
             seen: set[int] = set()
@@ -332,8 +333,8 @@ class Join:
                 right = [i for i, (x, y) in enumerate(zip(own, part.column(0).to_pylist(), strict=True)) if x == y]  # an id may have several texts
                 yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in right], pa.int64()), pa.array([raw[8 * s.at[i] : 8 * s.at[i + 1]] for i in right], pa.binary())], ["class", "tokens"])
 
-        texts = self.docs.join(picked, "doc").select("class", "text")
-        nameless = picked.filter("doc is null").select("class")
+        texts = self.docs.filter("doc is not null").select(F.xxhash64("doc").alias("id"), "text").join(picked, "id").select("class", "text")
+        nameless = picked.filter("id is null").select("class")
         if not nameless.isEmpty():  # classes whose rows all have null ids
             texts = texts.union(self.docs.filter("doc is null").select("text").mapInArrow(named, "class long, text string").join(nameless, "class").select("class", "text"))
         found = texts.mapInArrow(run, "class long, tokens binary")
