@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from plotweave.session import table
 
-__all__ = ["annotate", "fresh", "remainder", "scratch", "store", "table"]
+__all__ = ["annotate", "bit_table", "discard", "fresh", "perhaps_in", "remainder", "scratch", "store", "table"]
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -31,25 +31,70 @@ def remainder(column: str, modulus: int) -> Column:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the whole cluster shares.
 
-    The folder comes from spark.checkpoint.dir or the context's checkpoint folder; only where neither is set, as in tests, is one
-    set in the temporary folder.
+    The folder is spark.checkpoint.dir or the context's checkpoint folder. Only a local session, as in tests, may have neither and gets a
+    temporary folder; anywhere else executors would write to disks of their own, so that is an error.
     """
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="plotweave-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query at its end where this is set, instead of when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: a cut in the lineage that outlives any executor."""
+    """df written to the shared folder and read again: a cut in the lineage that outlives any executor.
+
+    The shuffle files of the write go with it, as nothing reads them afterwards. discard() removes the table.
+    """
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*stored: DataFrame) -> None:
+    """Removes tables that store() has made and that nothing reads any more."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Words of 64 bits in a bit table: what a broadcast of one can be at most, whatever the input.
+WORDS = 1 << 20
+
+
+def bit_table(ids: DataFrame) -> DataFrame:
+    """word, bits: a bit for each 64-bit id, in WORDS words at most. ids: id."""
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(id, 20), 64) as int))")
+    return ids.filter("id is not null").groupBy(F.expr(f"cast(id & {WORDS - 1} as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def perhaps_in(df: DataFrame, key: Column, table: DataFrame) -> tuple[DataFrame, str]:
+    """df with a boolean column, and its name: false where the key (a 64-bit number) is surely not in the table; a null key is in none."""
+    word, bits, flag = (fresh(df, c) for c in ("bit_word", "bit_bits", "perhaps"))
+    keyed = df.withColumns({word: key.bitwiseAND(F.lit(WORDS - 1)).cast("int"), flag: F.pmod(F.shiftright(key, 20), F.lit(64)).cast("int")})
+    joined = keyed.join(F.broadcast(table.toDF(word, bits)), word, "left")  # WORDS rows at most
+    hit = F.coalesce(F.call_function("getbit", F.col(bits), F.col(flag)) == 1, F.lit(False))
+    return joined.withColumn(flag, hit).drop(word, bits), flag
 
 
 def annotate(

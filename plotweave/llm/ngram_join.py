@@ -9,9 +9,10 @@ index them, and no link is lost. How many segments of each kind and how many spa
 cost: keys written, and pairs that would meet by chance, given how many sets of the corpus are in the band.
 
 Texts with one word sequence form a class, which is joined once. Sets that share a key meet their key's smallest class, the
-center, first. After that, a center's classes that are still in different components are tested in blocks, each two blocks in one
-task, without writing their pairs; sets with too many tokens of their own are left out before, since they can't have links. Every test is
-exact, on the whole sets, and no candidate is dropped.
+center, first. A set's sketch has a bit for each of its hash buckets that holds an odd number of its tokens; two sketches differ in
+at most as many bits as the sets differ in tokens, so sketches rule pairs out without loss and without the sets. What is left is
+tested exactly, on the whole sets. After that, a center's classes that are still in different components meet in blocks, each two blocks in one
+task, without writing their pairs: by sketches first, then, where some pair is left, by their sets. No candidate is dropped.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; a text of fewer words than n has its whole
 sequence as its one n-gram; repeated rows are in one class, whatever their number; an empty table gives an empty one.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.llm import bytewords
-from plotweave.llm.common import fresh, store
+from plotweave.llm.common import bit_table, discard, fresh, perhaps_in, store
 from plotweave.llm.components import connected_components
 
 U = np.uint64
@@ -39,8 +40,8 @@ _FACTORS = bytewords.mix(np.arange(1, 65, dtype=np.uint64)) | U(1)
 PAIR_COST = 60.0
 #: Classes that a task remembers, so as to write the keys of copies once.
 SEEN = 1_000_000
-#: Classes and bytes of tokens in a block of a center's (about, as they are dealt by hash), and tokens in a slice of a cell.
-BLOCK, BLOCK_BYTES, WIDTH = 1_024, 8_000_000, 2_048
+#: Classes and bytes of tokens in a block of a center's (about, as they are dealt by hash), tokens in a slice of a cell, classes in a block of sketches.
+BLOCK, BLOCK_BYTES, WIDTH, SKETCHES = 1_024, 8_000_000, 2_048, 4_096
 
 
 @dataclass(frozen=True)
@@ -123,6 +124,39 @@ def ngram_sets(w: bytewords.Words, n: int) -> Sets:
     return Sets(grams[new], np.concatenate(([0], np.cumsum(new)))[at])
 
 
+def sketches(s: Sets, rows: np.ndarray) -> list[bytes]:
+    """The parity of the number of tokens in each hash bucket, for the sets of rows; a power of two of buckets, four for a token or more, 64 at least."""
+    sizes = s.at[rows + 1] - s.at[rows]
+    buckets = np.int64(64) << np.ceil(np.log2(np.maximum(sizes / 16, 1))).astype(np.int64)
+    base = np.cumsum(buckets) - buckets
+    own = np.repeat(np.arange(len(rows)), sizes)
+    token = s.tokens[np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes - s.at[rows], sizes)]
+    slot = base[own] + (token & (buckets[own] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.zeros(int(buckets.sum()) // 8, dtype=np.uint8)
+    np.bitwise_xor.at(odd, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+    raw = odd.tobytes()
+    return [raw[i // 8 : (i + n) // 8] for i, n in zip(base.tolist(), buckets.tolist(), strict=True)]
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch (or sketches, as rows) of the same sets with fewer buckets."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of tokens by which sets of these sketches differ; b may hold sketches as rows."""
+    words = min(a.shape[-1], b.shape[-1])
+    return np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(axis=-1, dtype=np.int64)
+
+
+def may_link(percent: int, differ, size_a, size_b):
+    """Whether sets of these sizes that differ in so many tokens at least can link."""
+    return ((100 + percent) * differ <= (100 - percent) * (size_a + size_b)) & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
+
+
 def classes(w: bytewords.Words, salt: int) -> list[tuple[int, int] | None]:
     """Two 64-bit hashes of each word sequence; None without words."""
     key = salt.to_bytes(2, "little")
@@ -176,6 +210,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _unseen(classes: list[tuple[int, int] | None], seen: set[int]) -> np.ndarray:
+    """The rows of classes that aren't among the seen ones, which they join while these are SEEN at most."""
+    rows = []
+    for i, x in enumerate(classes):
+        if x is not None and x[0] not in seen:
+            if len(seen) < SEEN:
+                seen.add(x[0])
+            rows.append(i)
+    return np.array(rows, dtype=np.int64)
+
+
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """class, center of keys that several classes have; the rows come sorted by key and class. center: the key's smallest class."""
     last_key = last_class = center = None
@@ -237,6 +282,29 @@ def _cell_links(classes: np.ndarray, roots: np.ndarray, lists: list[np.ndarray],
     return out
 
 
+def _sketch_cell(classes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, held: list[np.ndarray], percent: int) -> np.ndarray:
+    """The classes of a cell that may link to one of another root, as far as sketches tell."""
+    open_ = np.zeros(len(classes), dtype=bool)
+    lengths = np.array([len(x) for x in held])
+    for length in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == length)
+        near = np.flatnonzero((lengths >= length) & (lengths * percent <= length * 200))  # lengths are at most twice as far apart as sizes
+        near = near[np.argsort(sizes[near], kind="stable")]
+        table, near_sizes = np.stack([folded(held[k], length) for k in near.tolist()]), sizes[near]
+        low = np.searchsorted(near_sizes, -(-percent * sizes[mine] // 100), side="left")
+        high = np.searchsorted(near_sizes, sizes[mine] * 100 // percent, side="right")
+        for i, a, b in zip(mine.tolist(), low.tolist(), high.tolist(), strict=True):
+            others = near[a:b]
+            apart = roots[others] != roots[i]
+            if apart.any():
+                others = others[apart]
+                ok = may_link(percent, differ(held[i], table[a:b][apart]), sizes[i], sizes[others])
+                if ok.any():
+                    open_[i] = True
+                    open_[others[ok]] = True
+    return classes[open_]
+
+
 class Join:
     """The join of one table; see the module's text."""
 
@@ -245,25 +313,34 @@ class Join:
         self.docs, self.n, self.percent = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), n, percent
 
     def members(self) -> DataFrame:
-        """doc, size, class of each row; class is null for an empty set. Another salt is taken until no two word sequences share a class."""
+        """doc, size, class, sketch of each row; class is null for an empty set, sketch where a task has written the class's before.
+
+        Another salt is taken until no two word sequences share a class.
+        """
         n = self.n
         for salt in range(100):
 
             def run(batches, salt=salt):
+                seen: set[int] = set()
                 for part in bytewords.blocks(batches, "text"):
                     w = _texts(part, "text")
                     s, c = ngram_sets(w, n), classes(w, salt)
+                    new = _unseen(c, seen)
+                    sketch: list[bytes | None] = [None] * len(c)
+                    for i, x in zip(new.tolist(), sketches(s, new), strict=True):
+                        sketch[i] = x
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array(np.diff(s.at)), pa.array([x and x[0] for x in c], pa.int64()), pa.array([x and x[1] for x in c], pa.int64())],
-                        ["doc", "size", "class", "check"],
+                        [part.column(0), pa.array(np.diff(s.at)), pa.array([x and x[0] for x in c], pa.int64()), pa.array([x and x[1] for x in c], pa.int64()), pa.array(sketch, pa.binary())],
+                        ["doc", "size", "class", "check", "sketch"],
                     )
 
             kind = self.docs.schema["doc"].dataType.simpleString()
-            found = store(self.docs.mapInArrow(run, f"doc {kind}, size long, class long, check long"), "members")
+            found = store(self.docs.mapInArrow(run, f"doc {kind}, size long, class long, check long, sketch binary"), "members")
             by_class = found.filter("class is not null").groupBy("class")
             if by_class.agg((F.min("check") != F.max("check")).alias("bad")).filter("bad").isEmpty():
                 self.salt = salt
-                return found.drop("check")
+                return found
+            discard(found)
         raise RuntimeError("no salt keeps the classes apart")
 
     def schemes(self, members: DataFrame) -> list[Scheme]:
@@ -286,13 +363,7 @@ class Join:
             for part in bytewords.blocks(batches, "text"):
                 w = _texts(part, "text")
                 s, c = ngram_sets(w, n), classes(w, salt)
-                rows = []
-                for i, x in enumerate(c):
-                    if x is not None and x[0] not in seen:
-                        if len(seen) < SEEN:
-                            seen.add(x[0])
-                        rows.append(i)
-                rows = np.array(rows, dtype=np.int64)
+                rows = _unseen(c, seen)
                 if not len(rows):
                     continue
                 own = np.array([x[0] if x else 0 for x in c], dtype=np.int64)
@@ -306,24 +377,39 @@ class Join:
         written = self.docs.mapInArrow(run, "key long, class long")
         return store(written.repartition("key").sortWithinPartitions("key", "class").mapInArrow(meetings, "a long, b long").distinct(), "meetings")
 
+    def sketched(self, stars: DataFrame, members: DataFrame) -> DataFrame:
+        """class, size, sketch of the classes of stars."""
+        needed = stars.select(F.col("a").alias("class")).union(stars.select("b")).distinct()
+        first = members.filter("sketch is not null").select("class", "size", "sketch").join(needed, "class", "left_semi")
+        return store(first.groupBy("class").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
+
+    def near(self, pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+        """The pairs of classes (a, b) that may link, as far as their sketches tell."""
+        percent = self.percent
+        both = pairs.select("a", "b").join(sketched.toDF("b", "size_b", "sketch_b"), "b").join(sketched.toDF("a", "size_a", "sketch_a"), "a")
+
+        def run(batches):
+            for batch in batches:
+                left, right = batch.column(4), batch.column(5)
+                least = [differ(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(left, right, strict=True)]
+                ok = may_link(percent, np.array(least, dtype=np.int64), batch.column(2).to_numpy(), batch.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
+
+        return store(both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long"), "near")
+
     def sets(self, needed: DataFrame, members: DataFrame) -> DataFrame:
         """class, tokens (64-bit numbers, sorted, as bytes) of the needed classes, from one text of each."""
         n, salt = self.n, self.salt
-        one = members.filter("class is not null").groupBy("class").agg(F.min("doc").alias("doc"))
+        one = members.filter("class is not null").select("doc", "class").join(needed, "class", "left_semi").groupBy("class").agg(F.min("doc").alias("doc"))
         # ids meet by a short hash, whatever their type; of the rows that share it, those of the class are taken below
-        picked = store(needed.join(one, "class").select(F.when(F.col("doc").isNotNull(), F.xxhash64("doc")).alias("id"), "class"), "picked")
+        picked = store(one.select(F.when(F.col("doc").isNotNull(), F.xxhash64("doc")).alias("id"), "class"), "picked")
 
         def named(batches):
             seen: set[int] = set()
             for part in bytewords.blocks(batches, "text"):
-                own = [x and x[0] for x in classes(_texts(part, "text"), salt)]
-                first = []
-                for i, x in enumerate(own):
-                    if x is not None and x not in seen:
-                        if len(seen) < SEEN:
-                            seen.add(x)
-                        first.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in first], pa.int64()), part.column(part.schema.get_field_index("text")).take(pa.array(first, pa.int64()))], ["class", "text"])
+                c = classes(_texts(part, "text"), salt)
+                first = _unseen(c, seen).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([c[i][0] for i in first], pa.int64()), part.column(part.schema.get_field_index("text")).take(pa.array(first, pa.int64()))], ["class", "text"])
 
         def run(batches):
             for part in bytewords.blocks(batches, "text"):
@@ -333,25 +419,15 @@ class Join:
                 right = [i for i, (x, y) in enumerate(zip(own, part.column(0).to_pylist(), strict=True)) if x == y]  # an id may have several texts
                 yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in right], pa.int64()), pa.array([raw[8 * s.at[i] : 8 * s.at[i + 1]] for i in right], pa.binary())], ["class", "tokens"])
 
-        texts = self.docs.filter("doc is not null").select(F.xxhash64("doc").alias("id"), "text").join(picked, "id").select("class", "text")
+        # texts whose id isn't in the bit table stay where they are
+        held, flag = perhaps_in(self.docs.filter("doc is not null").select(F.xxhash64("doc").alias("id"), "text"), F.col("id"), bit_table(picked.select("id")))
+        texts = held.filter(flag).select("id", "text").join(picked, "id").select("class", "text")
         nameless = picked.filter("id is null").select("class")
         if not nameless.isEmpty():  # classes whose rows all have null ids
             texts = texts.union(self.docs.filter("doc is null").select("text").mapInArrow(named, "class long, text string").join(nameless, "class").select("class", "text"))
-        found = texts.mapInArrow(run, "class long, tokens binary")
-        return store(found.groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
-
-    def alone(self, sets: DataFrame) -> DataFrame:
-        """class, size, alone: how many of its tokens no other of these classes has."""
-
-        def run(batches):
-            for part in bytewords.blocks(batches, "tokens"):
-                own = part.column(0).to_numpy()
-                lists = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(x) for x in lists])), pa.array(np.concatenate(lists))], ["class", "token"])
-
-        of_token = sets.mapInArrow(run, "class long, token long").groupBy("token").agg(F.count("*").alias("n"), F.min("class").alias("class"))
-        single = of_token.filter("n = 1").groupBy("class").agg(F.count("*").alias("alone"))
-        return sets.select("class", F.expr("length(tokens) div 8").alias("size")).join(single, "class", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        found = store(texts.mapInArrow(run, "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
+        discard(picked)
+        return found
 
     def compare(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b, shared, size_a, size_b of each pair of classes (a, b), from their whole sets."""
@@ -378,56 +454,99 @@ class Join:
         """members, and node (class), root of all classes that have links."""
         members = self.members()
         stars = self.index(self.schemes(members))
-        sets = self.sets(stars.select(F.col("a").alias("class")).union(stars.select("b")).distinct(), members)
-        found = connected_components(self.linked(self.compare(stars, sets)))
-        links = store(self.rest(stars, found, sets), "links")
+        sketched = self.sketched(stars, members)
+        found = connected_components(self.links(self.near(stars, sketched), members))
+        open_ = self.rest(stars, found, sketched)
+        discard(stars, sketched)
+        links = self.cell_links(open_, members)
         if not links.isEmpty():
-            found = connected_components(links.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        return members, found
-
-    def rest(self, stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between classes that share a key and are still in different components.
-
-        Sets that share a key have met its center, so all pairs to test lie among the classes of one center. A center's classes are
-        dealt into blocks, and each two blocks into one cell, that a task tests as a whole.
+            first, found = found, connected_components(links.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            discard(first)
+        discard(links)
+        return members.select("doc", "size", "class"), found
+
+    def links(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """The pairs of classes (a, b) that link, from their whole sets. pairs are discarded."""
+        sets = self.sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), members)
+        compared = self.compare(pairs, sets)
+        discard(pairs, sets)
+        found = store(self.linked(compared), "links")
+        discard(compared)
+        return found
+
+    def rest(self, stars: DataFrame, found: DataFrame, sketched: DataFrame) -> DataFrame:
+        """class, center, root of the classes that may link to one of their center's that is in another component, as far as sketches tell.
+
+        Sets that share a key have met its center, so all pairs to test lie among the classes of one center.
         """
         around = stars.join(found.withColumnRenamed("node", "a"), "a", "left").select(F.col("a").alias("class"), F.col("b").alias("center"), F.coalesce("root", "a").alias("root"))
         around = self.open_groups(around)
-        # linked sets differ in few tokens, so sets with more tokens of their own among all that are left have no link
-        alone = self.alone(sets.join(around.select("class").distinct(), "class"))
-        differ = (100 - self.percent) / (100 + self.percent)
-        around = self.open_groups(around.join(alone, "class").filter(F.col("alone") <= differ * (F.col("size") + F.col("size") * 100 / self.percent) + 1e-6))
-        counts = around.groupBy("center").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks"))
-        dealt = around.join(counts, "center").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        cells = dealt.select("center", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "root").join(sets, "class")
         percent = self.percent
 
         def run(batches):
-            cell, held = None, []
-            for batch in batches:
-                names = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-                for name, c, root, tokens in zip(names, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
-                    if name != cell:
-                        if held:
-                            yield _links(held, percent)
-                        cell, held = name, []
-                    held.append((c, root, np.frombuffer(tokens.as_py(), dtype=np.uint64)))
-            if held:
-                yield _links(held, percent)
-
-        by = ["center", "low", "high"]
-        return cells.repartition(*by).sortWithinPartitions(*by).select(*by, "class", "root", "tokens").mapInArrow(run, "a long, b long").distinct()
+            for (center, _, _), rows in _cells(batches):
+                kept = _sketch_cell(*(np.array(x) for x in rows[:3]), [np.frombuffer(x, "<u8") for x in rows[3]], percent) if len(rows[0]) > 1 else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), center)), pa.array(kept)], ["center", "class"])
+
+        sized = around.join(sketched, "class")
+        cells = _dealt(sized, F.count("*") / SKETCHES, F.sum(F.length("sketch")) / BLOCK_BYTES).select(*_CELL, "class", "root", "size", "sketch")
+        some = store(_by_cell(cells).mapInArrow(run, "center long, class long").distinct(), "some")
+        left = self.open_groups(around.join(some, ["center", "class"]))
+        discard(around, some)
+        return left
+
+    def cell_links(self, around: DataFrame, members: DataFrame) -> DataFrame:
+        """Links between classes of one center that are in different components; each two blocks of a center's classes are one cell, that a task tests as a whole."""
+        sets, percent = self.sets(around.select("class").distinct(), members), self.percent
+
+        def run(batches):
+            for _, (c, roots, tokens) in _cells(batches):
+                found = _cell_links(np.array(c), np.array(roots), [np.frombuffer(x, dtype=np.uint64) for x in tokens], percent) if len(c) > 1 else []
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        dealt = _dealt(around.join(sets.select("class", F.length("tokens").alias("bytes")), "class"), F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+        cells = dealt.select(*_CELL, "class", "root").join(sets, "class").select(*_CELL, "class", "root", "tokens")
+        links = store(_by_cell(cells).mapInArrow(run, "a long, b long").distinct(), "links")
+        discard(around, sets)
+        return links
 
     def open_groups(self, around: DataFrame) -> DataFrame:
         """Rows of centers whose classes are in several components."""
         several = around.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("center")
-        return store(around.join(several, "center"), "around")
+        return store(around.join(several.hint("merge"), "center"), "around")  # Spark splits a merge join's sides where a center has many rows
+
+
+#: A cell: two blocks of a center's classes.
+_CELL = ("center", "low", "high")
 
 
-def _links(held: list[tuple], percent: int) -> pa.RecordBatch:
-    found = _cell_links(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], percent) if len(held) > 1 else []
-    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _dealt(around: DataFrame, *blocks) -> DataFrame:
+    """around with each row once for each cell that its class is in. blocks: how many blocks a center's rows make, at least.
+
+    The counts meet the rows by a merge join, whose sides Spark splits where a center has many rows.
+    """
+    counts = around.groupBy("center").agg(F.ceil(F.greatest(*blocks, F.lit(1.0))).alias("blocks"))
+    dealt = around.join(counts.hint("merge"), "center").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+
+def _by_cell(cells: DataFrame) -> DataFrame:
+    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
+    """Each cell's name and the columns behind it, of rows sorted by cell."""
+    cell, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            if row[:3] != cell:
+                if held:
+                    yield cell, list(zip(*held, strict=True))
+                cell, held = row[:3], []
+            held.append(row[3:])
+    if held:
+        yield cell, list(zip(*held, strict=True))
 
 
 def groups(docs: DataFrame, *, doc: str = "doc_id", **options) -> DataFrame:
@@ -455,15 +574,20 @@ def keep_one(docs: DataFrame, *, doc: str = "doc_id", **options) -> DataFrame:
     members, found = Join(tagged.withColumn(name, row), doc=name, **options).components()
     rows = members.join(found.withColumnRenamed("node", "class"), "class", "left").select(F.coalesce("root", "class").alias("group"), F.col("doc").alias("row"))
     rows = rows.groupBy("group", "row").agg(F.count("*").alias("n"))  # so that copies don't meet in one task
-    best = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct("row", "n")).alias("x")).select("x.row", "x.n")
-    keep = store(best.union(rows.filter("group is null").select("row", F.lit(1).cast("long"))).select("row.doc", "row.one", "row.two", "n"), "kept")
-
-    def rows_of(some: DataFrame) -> DataFrame:
+    best = rows.filter("group is not null").groupBy("group").agg(F.min("row").alias("best"), F.count("*").alias("of"))
+    # rows that aren't alone in their group; all others stay without a shuffle of their texts
+    shared = rows.filter("group is not null").join(best.filter("of > 1"), "group").select("row", F.when(F.col("row") == F.col("best"), F.col("n")).otherwise(0).alias("n"))
+    alone = rows.filter("group is not null and n > 1").join(best.filter("of = 1"), "group").select("row", "n")
+    shared = store(shared.union(alone).union(rows.filter("group is null and n > 1").select("row", "n")).select("row.doc", "row.one", "row.two", "n"), "shared")
+    flagged, flag = perhaps_in(tagged, F.col(one), bit_table(shared.select(F.col("one").alias("id"))))
+
+    def rows_of(some: DataFrame, how: str) -> DataFrame:
         some = some.select(*(F.col(c).alias(f"kept {c}") for c in ("doc", "one", "two")))
-        same = tagged[doc].eqNullSafe(some["kept doc"]) & (tagged[one] == some["kept one"]) & (tagged[two] == some["kept two"])
-        return tagged.join(some, same, "left_semi")
+        same = flagged[doc].eqNullSafe(some["kept doc"]) & (flagged[one] == some["kept one"]) & (flagged[two] == some["kept two"])
+        return flagged.filter(flag).join(some, same, how)
 
-    kept, repeated = rows_of(keep.filter("n = 1")), keep.filter("n > 1")
+    kept = flagged.filter(~F.col(flag)).union(rows_of(shared, "left_anti")).union(rows_of(shared.filter("n = 1"), "left_semi"))
+    repeated = shared.filter("n > 1")
     if not repeated.isEmpty():
-        kept = kept.union(rows_of(repeated).dropDuplicates([doc, one, two]))
-    return kept.drop(one, two)
+        kept = kept.union(rows_of(repeated, "left_semi").dropDuplicates([doc, one, two]))
+    return kept.select(*docs.columns)
