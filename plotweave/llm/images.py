@@ -1,37 +1,49 @@
 """Local image descriptors: which images are cropped or edited copies of which others.
 
-Corners are found at several scales (Harris measure, the strongest of each image), get an orientation from their patch's intensity
-centroid, and are described by binary tests between blurred places of the patch, turned by the orientation. Descriptors of
-queries and of all images meet in tables over bands of their bits (two that differ in fewer bits than there are bands share a
-band), are compared by their Hamming distance, and the pairs of each two images vote for a similarity transform. Images with
-enough agreeing pairs are copies.
-
-Images with equal bytes form a class, described once; the result has pairs between classes' smallest ids, and each row's membership. Index
-rows are written only for bands that some query has, as far as a bit table of fixed size can tell; the join then compares the bands
-themselves, so nothing is lost. A band value is skewed at most as distinct images are, and the join is split by AQE.
-
-Defined cases: a null, empty or unreadable image has no corners and no copies (equal ones still share a class); plain images have none either;
-a null id can't be in a class; repeated rows are in one class; an empty table gives an empty one; other columns are not carried.
+Corners are found at several scales (Harris measure, the strongest of each scale, their number in proportion to the area), get an orientation
+from their patch's intensity centroid, and are described by binary tests between blurred places of the patch, turned by the orientation.
+Large images are worked on in tiles with margins, so that memory is bounded and no corner is lost at a tile's edge.
+
+Descriptors that differ in DISTANCE bits at most match. They have BANDS = DISTANCE + 1 bands of bits, so two that match are equal in one
+band at least: tables on the bands lose no match. Queries and images that meet with AGREE corners or more are compared as a whole: all
+Hamming distances between their corners, then the largest number of matches that agree on one similarity transform. Pairs with
+AGREE such matches or more are copies.
+
+An image is read once: the pass gives its digest and its corners in one value, and only digests, bands and the corners of pairs that met
+are shuffled. Images with equal bytes form a class; the result has pairs between queries and classes' smallest ids, and each row's
+membership. Band rows are written only for bands that some query has, as far as a bit table of fixed size can tell; the join then compares
+the bands themselves, so nothing is lost.
+
+Defined cases: a null, empty or unreadable image has no corners and no copies (equal ones still share a class); plain images and images smaller
+than a patch have none either; a null id can't be in a class or a query; repeated rows are in one class, equal queries are searched once and reported for
+each id; an empty table gives an empty one; other columns are not carried.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import store
+from plotweave.llm.common import bit_table, perhaps_in, store
 
-#: Corners of an image over all scales, the scales, patch radius, binary tests, bands of their bits.
-CORNERS, SCALES, RADIUS, TESTS, BANDS = 48, (1.0, 0.7, 0.5), 12, 256, 8
-#: Bits in which matching descriptors may differ, and pairs that must agree on a transform.
-DISTANCE, AGREE = 16, 6
-#: Bits of the table of the queries' bands.
-TABLE = 1 << 24
+#: Pixels (of the scaled image) a corner, corners of a scale at least, the scales, patch radius, binary tests, bands of their bits.
+SPARSE, FEW, SCALES, RADIUS, TESTS, BANDS = 200, 12, (1.0, 0.7, 0.5), 12, 256, 8
+#: Bits in which matching descriptors may differ: fewer than there are bands.
+DISTANCE = BANDS - 1
+#: Matches that must agree on a transform; how far they may lie from it: pixels, radians, powers of two.
+AGREE, PIXELS, ANGLE, POWER = 6, 6.0, 0.3, 0.3
+#: Tiles of a scaled image, and their margin: patch, smoothing and gradient.
+TILE, MARGIN = 1_024, RADIUS + 6
+#: A corner as bytes: x, y (in the whole image), scale, angle, bits.
+CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "<u4", TESTS // 32)])
+#: Digests that a task remembers, so as to describe copies once.
+SEEN = 200_000
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
@@ -46,7 +58,7 @@ def decode(raw: bytes | None) -> np.ndarray | None:
                     at = raw.index(b"\n", at)
                     continue
                 end = at
-                while not raw[end : end + 1].isspace():
+                while end < len(raw) and not raw[end : end + 1].isspace():
                     end += 1
                 fields.append(int(raw[at:end]))
                 at = end
@@ -102,14 +114,14 @@ def blur(a: np.ndarray, r: int) -> np.ndarray:
     return (p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]) / (k * k)
 
 
-def scaled(a: np.ndarray, scale: float) -> np.ndarray:
+def window(a: np.ndarray, scale: float, y0: int, y1: int, x0: int, x1: int) -> np.ndarray:
+    """Rows y0 to y1 and columns x0 to x1 of the image at a scale, by linear interpolation."""
     if scale == 1.0:
-        return a
-    h, w = max(int(a.shape[0] * scale), 1), max(int(a.shape[1] * scale), 1)
-    y, x = (np.minimum((np.arange(n) + 0.5) / scale - 0.5, m - 1).clip(0) for n, m in ((h, a.shape[0]), (w, a.shape[1])))
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1, fy, fx = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1), (y - y0)[:, None], x - x0
-    return (a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx) * (1 - fy) + (a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx) * fy
+        return a[y0:y1, x0:x1]
+    y, x = (np.minimum((np.arange(i, j) + 0.5) / scale - 0.5, m - 1).clip(0) for i, j, m in ((y0, y1, a.shape[0]), (x0, x1, a.shape[1])))
+    top, left = y.astype(int), x.astype(int)
+    bottom, right, fy, fx = np.minimum(top + 1, a.shape[0] - 1), np.minimum(left + 1, a.shape[1] - 1), (y - top)[:, None], x - left
+    return (a[top][:, left] * (1 - fx) + a[top][:, right] * fx) * (1 - fy) + (a[bottom][:, left] * (1 - fx) + a[bottom][:, right] * fx) * fy
 
 
 def _tests() -> np.ndarray:
@@ -123,109 +135,139 @@ _DISC = np.stack(np.meshgrid(np.arange(-RADIUS, RADIUS + 1), np.arange(-RADIUS,
 _DISC = _DISC[(_DISC**2).sum(axis=1) <= RADIUS**2]
 
 
-def describe(grey: np.ndarray | None) -> list[tuple[float, float, float, float, bytes]]:
-    """x, y (in the whole image), scale, angle and bits of each corner."""
-    if grey is None or min(grey.shape) < 2 * RADIUS + 4 or max(grey.shape) > 20_000:
-        return []
-    out = []
-    total = sum(SCALES)
-    for scale in SCALES:
-        a = scaled(grey, scale)
-        if min(a.shape) < 2 * RADIUS + 4:
-            continue
-        gy, gx = np.gradient(blur(a, 1))
-        xx, yy, xy = blur(gx * gx, 2), blur(gy * gy, 2), blur(gx * gy, 2)
-        measure = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+def _corners(a: np.ndarray, own: tuple[int, int, int, int], most: int) -> tuple[np.ndarray, ...]:
+    """strength, y, x, angle and bits of the strongest corners whose place is in own (y0, y1, x0, x1) of a window."""
+    gy, gx = np.gradient(blur(a, 1))
+    xx, yy, xy = blur(gx * gx, 2), blur(gy * gy, 2), blur(gx * gy, 2)
+    measure = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+    y0, y1, x0, x1 = own
+    inner = measure[y0:y1, x0:x1]
+    around = np.max([measure[y0 + i : y1 + i, x0 + j : x1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
+    y, x = np.nonzero((inner == around) & (inner > 1.0))
+    strongest = np.argsort(-inner[y, x], kind="stable")[:most]
+    strength, y, x = inner[y, x][strongest], y[strongest] + y0, x[strongest] + x0
+    patch = a[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
+    angle = np.arctan2((patch * _DISC[:, 0]).sum(axis=1), (patch * _DISC[:, 1]).sum(axis=1))
+    c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+    dy, dx = _PLACES[None, :, :, 0], _PLACES[None, :, :, 1]
+    ty = np.rint(s * dx + c * dy).astype(int).clip(-RADIUS, RADIUS) + y[:, None, None]
+    tx = np.rint(c * dx - s * dy).astype(int).clip(-RADIUS, RADIUS) + x[:, None, None]
+    smooth = blur(a, 2)
+    bits = np.packbits(smooth[ty[:, :, 0], tx[:, :, 0]] < smooth[ty[:, :, 1], tx[:, :, 1]], axis=1)
+    return strength, y, x, angle, bits
+
+
+def describe(grey: np.ndarray | None) -> np.ndarray:
+    """The corners of an image (CORNER)."""
+    out = [np.zeros(0, CORNER)]
+    for scale in SCALES if grey is not None else ():
+        h, w = (n if scale == 1.0 else max(int(n * scale), 1) for n in grey.shape)
         edge = RADIUS + 1
-        inner = measure[edge:-edge, edge:-edge]
-        around = np.max([measure[edge + i : measure.shape[0] - edge + i, edge + j : measure.shape[1] - edge + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
-        y, x = np.nonzero((inner == around) & (inner > 1.0))
-        strongest = np.argsort(-inner[y, x], kind="stable")[: max(int(CORNERS * scale / total), 4)]
-        y, x = y[strongest] + edge, x[strongest] + edge
-        patch = a[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
-        angle = np.arctan2((patch * _DISC[:, 0]).sum(axis=1), (patch * _DISC[:, 1]).sum(axis=1))
-        c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        dy, dx = _PLACES[None, :, :, 0], _PLACES[None, :, :, 1]
-        ty = np.rint(s * dx + c * dy).astype(int).clip(-RADIUS, RADIUS) + y[:, None, None]
-        tx = np.rint(c * dx - s * dy).astype(int).clip(-RADIUS, RADIUS) + x[:, None, None]
-        smooth = blur(a, 2)
-        bits = np.packbits(smooth[ty[:, :, 0], tx[:, :, 0]] < smooth[ty[:, :, 1], tx[:, :, 1]], axis=1)
-        out += [(float(i / scale), float(j / scale), scale, float(t), b.tobytes()) for i, j, t, b in zip(x, y, angle, bits, strict=True)]
-    return out
-
-
-def classes(images: DataFrame) -> DataFrame:
-    """id, rep (the smallest id with equal bytes), image, of rows with an id. images: id, image."""
-    key = F.sha2(F.coalesce("image", F.lit(b"")), 256)
-    known = images.filter("id is not null").withColumn("key", key)
-    return known.join(known.groupBy("key").agg(F.min("id").alias("rep")), "key")
+        if min(h, w) < 2 * edge + 2:
+            continue
+        most, found = max(h * w // SPARSE, FEW), []
+        for top in range(edge, h - edge, TILE):
+            for left in range(edge, w - edge, TILE):
+                bottom, right = min(top + TILE, h - edge), min(left + TILE, w - edge)
+                y0, x0 = max(top - MARGIN, 0), max(left - MARGIN, 0)
+                a = window(grey, scale, y0, min(bottom + MARGIN, h), x0, min(right + MARGIN, w))
+                strength, y, x, angle, bits = _corners(a, (top - y0, bottom - y0, left - x0, right - x0), most)
+                found.append((strength, y + y0, x + x0, angle, bits))
+        strength, y, x, angle, bits = (np.concatenate(v) for v in zip(*found, strict=True))
+        strongest = np.argsort(-strength, kind="stable")[:most]
+        rows = np.zeros(len(strongest), CORNER)
+        rows["x"], rows["y"], rows["scale"], rows["angle"] = x[strongest] / scale, y[strongest] / scale, scale, angle[strongest]
+        rows["bits"] = np.ascontiguousarray(bits[strongest]).view("<u4")
+        out.append(rows)
+    return np.concatenate(out)
+
+
+def agreeing(q: np.ndarray, i: np.ndarray) -> int:
+    """The most corners of a query that match corners of an image under one similarity transform (CORNER both)."""
+    close = np.bitwise_count(q["bits"][:, None, :] ^ i["bits"][None, :, :]).sum(axis=2, dtype=np.int64) <= DISTANCE
+    a, b = np.nonzero(close)
+    if len(a) < AGREE:
+        return 0
+    q, i = q[a], i[b]
+    turn = i["angle"].astype(np.float64) - q["angle"]
+    grow = q["scale"].astype(np.float64) / i["scale"]
+    c, s = np.cos(turn) * grow, np.sin(turn) * grow
+    # each match is a transform; column k: where it puts match k's corner, and how far that is from the image's
+    dx, dy = q["x"][None, :].astype(np.float64) - q["x"][:, None], q["y"][None, :].astype(np.float64) - q["y"][:, None]
+    px = i["x"][:, None] + c[:, None] * dx - s[:, None] * dy
+    py = i["y"][:, None] + s[:, None] * dx + c[:, None] * dy
+    off = np.hypot(px - i["x"][None, :], py - i["y"][None, :])
+    bend = np.abs((turn[None, :] - turn[:, None] + np.pi) % (2 * np.pi) - np.pi)
+    ok = (off <= PIXELS * np.maximum(grow, 1)[:, None]) & (bend <= ANGLE) & (np.abs(np.log2(grow[None, :] / grow[:, None])) <= POWER)
+    best = 0
+    for k in np.argsort(-ok.sum(axis=1), kind="stable").tolist():
+        if ok[k].sum() <= best:
+            break
+        places = np.unique(np.stack([q["x"][ok[k]], q["y"][ok[k]]]), axis=1).shape[1], np.unique(np.stack([i["x"][ok[k]], i["y"][ok[k]]]), axis=1).shape[1]
+        best = max(best, min(places))
+    return best
+
+
+def described(images: DataFrame) -> DataFrame:
+    """id, one, two (the digest of the bytes), corners (of the first rows of a digest that a task sees, else null). images: id, image."""
 
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            names, corners = [], []
+            for raw in batch.column(1).to_pylist():
+                name = hashlib.blake2b(raw or b"", digest_size=16).digest()
+                names.append(name)
+                corners.append(None if name in seen else describe(decode(raw)).tobytes())
+                if len(seen) < SEEN:
+                    seen.add(name)
+            key = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(corners, pa.binary())], ["id", "one", "two", "corners"])
 
-POINTS = "id long, band long, x double, y double, scale double, angle double, bits binary"
+    return store(images.select("id", "image").mapInArrow(run, "id long, one long, two long, corners binary"), "images")
 
 
-def points(images: DataFrame, wanted=None) -> DataFrame:
-    """A row for each corner and band of each image; wanted: a broadcast table of the bands that count."""
+def banded(found: DataFrame) -> DataFrame:
+    """one, number (of the corner), band of each image with corners."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for x, y, scale, angle, bits in describe(decode(raw)):
-                    for k, word in enumerate(np.frombuffer(bits, dtype="<u4").tolist()):
-                        band = k << 32 | word
-                        if wanted is None or wanted.value[band % 16_777_213 >> 3] >> (band % 16_777_213 & 7) & 1:
-                            rows.append((name, band, x, y, scale, angle, bits))
-            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["id", "band", "x", "y", "scale", "angle", "bits"])
-
-    return images.select("id", "image").mapInArrow(run, POINTS)
-
+            rows = [np.frombuffer(x, CORNER)["bits"] for x in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in rows], dtype=np.int64)
+            words = np.concatenate([np.zeros((0, BANDS), "<u4"), *rows])
+            band = (words.astype(np.int64) | np.arange(BANDS) << 32).reshape(-1)
+            number = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes * BANDS)), pa.array(np.repeat(number, BANDS).astype(np.int32)), pa.array(band)], ["one", "number", "band"])
 
-def distance(a: Column, b: Column) -> Column:
-    """Hamming distance of two binary columns of TESTS bits."""
-    word = lambda c, k: F.conv(F.substring(F.hex(c), 16 * k + 1, 16), 16, -10).cast("long")
-    return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(TESTS // 64)), F.lit(0))
+    return found.filter("length(corners) > 0").select("one", "corners").mapInArrow(run, "one long, number int, band long")
 
 
 def copies(images: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query, match, pairs) of the query images and the images' classes they are copies of; and id, rep of all images.
+    """(query, match, pairs): each query id, the smallest ids of the classes it is a copy of, and the corners that agree; and id, rep of all images.
 
-    images and queries: id, image. A query's own class is no match of it unless its image differs from that class's.
+    images and queries: id, image. Equal images are no copies of one another here: they are one class.
     """
-    spark = images.sparkSession
-    members = store(classes(images), "images")
-    asked = store(points(queries), "queries")
+    index, asked = described(images.filter("id is not null")), described(queries.filter("id is not null"))
+    probes = store(banded(asked).distinct(), "probes")
+    kept, flag = perhaps_in(banded(index), F.xxhash64("band"), bit_table(probes.select(F.xxhash64("band").alias("id"))))
+    rows = kept.filter(flag).select("band", F.col("one").alias("i")).distinct()
+    met = probes.select("band", "number", F.col("one").alias("q")).join(rows, "band").select("q", "i", "number").distinct()
+    pairs = store(met.groupBy("q", "i").count().filter(F.col("count") >= AGREE).select("q", "i"), "pairs")
+    # one value for each digest; two digests that share their first half are kept apart by the second
+    one_of = lambda rows, x: rows.filter("corners is not null").join(pairs.select(F.col(x).alias("one")).distinct(), "one", "left_semi").groupBy(F.col("one").alias(x), F.col("two").alias(f"{x}2")).agg(F.first("corners").alias(f"{x}_corners"))
+    both = pairs.join(one_of(asked, "q"), "q").join(one_of(index, "i"), "i").filter("not (q = i and q2 = i2)")
 
-    def bits(batches):
-        table = np.zeros(TABLE // 8, dtype=np.uint8)
+    def run(batches):
         for batch in batches:
-            band = batch.column(0).to_numpy() % 16_777_213
-            np.bitwise_or.at(table, band >> 3, (1 << (band & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["t"])
-
-    table = np.zeros(TABLE // 8, dtype=np.uint8)
-    for row in asked.select("band").distinct().coalesce(4).mapInArrow(bits, "t binary").toLocalIterator():  # four tables of fixed size
-        table |= np.frombuffer(row[0], dtype=np.uint8)
-    wanted = spark.sparkContext.broadcast(table)
-    reps = members.filter("id = rep").dropDuplicates(["id"])
-    index = points(reps, wanted)
-    q, i = ([F.col(c).alias(f"{c}_{x}") for c in ("id", "x", "y", "scale", "angle", "bits")] for x in ("q", "i"))
-    met = asked.select("band", *q).join(index.select("band", *i), "band").filter(distance(F.col("bits_q"), F.col("bits_i")) <= DISTANCE)
-    met = met.select("id_q", "id_i", "x_q", "y_q", "scale_q", "angle_q", "x_i", "y_i", "scale_i", "angle_i").distinct()
-    # each pair of corners tells a turn, a scale and a shift; pairs that agree fall in the same or in neighbouring cells
-    turn = F.pmod(F.col("angle_i") - F.col("angle_q"), F.lit(2 * np.pi))
-    size = F.log2(F.col("scale_q") / F.col("scale_i"))
-    grow = F.pow(F.lit(2.0), F.round(size * 2) / 2)
-    step = F.pmod(F.round(turn / (np.pi / 8)), F.lit(16))
-    c, s = F.cos(step * (np.pi / 8)), F.sin(step * (np.pi / 8))
-    move_x, move_y = F.col("x_i") - grow * (c * F.col("x_q") - s * F.col("y_q")), F.col("y_i") - grow * (s * F.col("x_q") + c * F.col("y_q"))
-    cell = lambda v: F.array(F.floor(v / 16), F.floor(v / 16 + 0.5) + 1_000_000)  # noqa: E731  two grids, half a cell apart
-    voted = met.withColumns({"step": step, "grow": F.round(size * 2), "mx": cell(move_x), "my": cell(move_y)})
-    voted = voted.withColumn("mx", F.explode("mx")).withColumn("my", F.explode("my"))
-    votes = voted.groupBy("id_q", "id_i", "step", "grow", "mx", "my").agg(F.count_distinct("x_q", "y_q").alias("n"))
-    found = votes.groupBy(F.col("id_q").alias("query"), F.col("id_i").alias("match")).agg(F.max("n").alias("pairs")).filter(F.col("pairs") >= AGREE)
-    return found, members.select("id", "rep")
+            n = [agreeing(np.frombuffer(a, CORNER), np.frombuffer(b, CORNER)) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            ok = pa.array([x >= AGREE for x in n])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(ok) for k in range(4)), pa.array(n, pa.int64()).filter(ok)], ["q", "q2", "i", "i2", "pairs"])
+
+    matched = store(both.select("q", "q2", "i", "i2", "q_corners", "i_corners").mapInArrow(run, "q long, q2 long, i long, i2 long, pairs long"), "matched")
+    members = index.groupBy("one", "two").agg(F.min("id").alias("rep")).join(index.select("one", "two", "id").distinct(), ["one", "two"])
+    reps = members.filter("id = rep").select(F.col("one").alias("i"), F.col("two").alias("i2"), F.col("rep").alias("match"))
+    found = matched.join(reps, ["i", "i2"]).join(asked.select(F.col("one").alias("q"), F.col("two").alias("q2"), F.col("id").alias("query")).distinct(), ["q", "q2"])
+    return found.select("query", "match", "pairs"), members.select("id", "rep")
 
 
 def rendered(vector, size: int = 96, waves: int = 24) -> np.ndarray:
@@ -236,15 +278,21 @@ def rendered(vector, size: int = 96, waves: int = 24) -> np.ndarray:
     u = (np.sin(v / np.abs(v).max() * 37.0) + 1) / 2  # spreads near values apart
     pick = lambda o: u[(5 * np.arange(waves) + o) % len(u)]
     turn, often, phase = 2 * np.pi * pick(0), 0.03 + 0.1 * pick(17), 2 * np.pi * pick(41)
-    at = np.arange(size)
-    field = np.cos(2 * np.pi * (often * np.cos(turn))[:, None, None] * at + (2 * np.pi * (often * np.sin(turn))[:, None] * at + phase[:, None])[:, :, None]).sum(axis=0)
+    at = 2 * np.pi * np.arange(size)[:, None]
+    across, down = at * (often * np.cos(turn)), at * (often * np.sin(turn)) + phase
+    field = np.cos(down) @ np.cos(across).T - np.sin(down) @ np.sin(across).T  # the sum of the waves' cosines
     return 128 + 100 * field / np.abs(field).max()
 
 
 def edited(grey: np.ndarray, number: int) -> np.ndarray:
-    """A copy as an editor might make it: cropped, with other contrast, and for odd numbers turned by a quarter."""
+    """A copy as an editor might make it: cropped (each fourth one to two thirds of the sides), with other contrast, and for odd numbers turned by a quarter."""
     h, w = grey.shape
-    cut = grey[h // 12 + number % 5 : h - h // 14, w // 14 : w - w // 12 - number % 4] * 0.85 + 18
+    if number % 4 == 3:
+        top, left = h * (number % 5) // 12, w * (number % 3) // 6
+        cut = grey[top : top + 2 * h // 3, left : left + 2 * w // 3]
+    else:
+        cut = grey[h // 12 + number % 5 : h - h // 14, w // 14 : w - w // 12 - number % 4]
+    cut = cut * 0.85 + 18
     return np.rot90(cut) if number % 2 else cut
 
 
@@ -263,16 +311,11 @@ def of_vectors(vectors: DataFrame, edit: bool) -> DataFrame:
 
 
 def digest(vectors: DataFrame) -> DataFrame:
-    """kind, a, b, pairs: 'match' rows with a query's id and the smallest id of the class it is a copy of; 'member' rows with an id and its class's smallest id.
+    """kind, a, b, pairs: 'match' rows with a query's id and the smallest id of a class it is a copy of; 'member' rows with an id and its class's smallest id.
 
-    Queries are edited copies of every class whose smallest id is divisible by 20; query rows of other classes are covered by their class's pairs if it has
-    such an id, else the class's smallest query id stands for it.
+    Queries are the edited copies of all rows whose id is divisible by 20.
     """
-    images = of_vectors(vectors, False)
-    members = classes(images)
-    asked = members.filter("id % 20 = 0").groupBy("rep").agg(F.min("id").alias("vec_id"))
-    queries = of_vectors(vectors.join(asked, "vec_id", "left_semi").dropDuplicates(["vec_id"]), True)
-    found, reps = copies(images, queries)
+    found, reps = copies(of_vectors(vectors, False), of_vectors(vectors.filter("vec_id % 20 = 0"), True))
     return (
         found.select(F.lit("match").alias("kind"), F.col("query").alias("a"), F.col("match").alias("b"), "pairs")
         .union(reps.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(None).cast("long").alias("pairs")))
