@@ -43,13 +43,13 @@ def op10_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(table(spark, sf_dir, "pages"))
 
 
-#: Target weights of the mixture: the first source is held down, the third one is favoured.
-WEIGHTS = {f"src{k}": {0: 0.02, 2: 0.12}.get(k, 0.86 / 18) for k in range(20)}
+#: Target weights of the mixture, relative to 1 for each other source: the first source is held down, the third one is favoured.
+WEIGHTS = {"src0": 0.4, "src2": 2.5}
 
 
 def op5_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found, copy = mixture.replicate(docs, weights=WEIGHTS)
+    found, copy = mixture.replicate(docs, weights=WEIGHTS, other=1.0)
     return found.withColumnRenamed(copy, "copy").select("doc_id", "source", "copy", "text")
 
 
@@ -70,19 +70,19 @@ QUERIES = {
     "op3_image_copies": op3_image_copies,
     "op5_poisson_mixture": op5_poisson_mixture,
 }
-_TERMS = ", ".join(f"exp(-m) * pow(m, {k}) / {float(__import__('math').factorial(k))!r}" for k in range(49))
 ORACLES = {
     "op5_poisson_mixture": f"""
-WITH w AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v!r})" for k, v in WEIGHTS.items())}) AS t(source, weight)),
-c AS (SELECT source, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY source),
-r AS (SELECT source, coalesce(weight, 0) / {sum(WEIGHTS.values())!r} * total / n AS mean FROM c LEFT JOIN w USING (source)),
-d AS (SELECT doc_id, source, text, mean, CASE WHEN mean > 8 THEN floor(mean - 8) ELSE 0 END AS whole,
-             concat('0x', substr(sha256(concat('mix|', doc_id)), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents JOIN r USING (source)),
-k AS (SELECT doc_id, source, text, whole, u, mean - whole AS m FROM d),
-p AS (SELECT doc_id, source, text, whole, u, [{_TERMS}] AS p FROM k),
-n AS (SELECT doc_id, source, text, whole + len(list_filter(list_transform(generate_series(1, 48), lambda i: list_sum(p[1:i])), lambda s: s <= u)) AS copies FROM p)
-SELECT doc_id, source, CAST(unnest(generate_series(1, CAST(copies AS BIGINT))) AS INTEGER) AS copy, text FROM n""",
-    
+WITH w AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v!r}::DOUBLE)" for k, v in WEIGHTS.items())}) AS t(source, weight)),
+c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT c.source, n, coalesce(weight, 1.0) AS weight, sum(coalesce(weight, 1.0)) OVER () AS weights, sum(n) OVER () AS total FROM c LEFT JOIN w ON c.source = w.source),
+m AS (SELECT source, weight / weights * total / n AS mean FROM r),
+k AS (SELECT source, mean, unnest(generate_series(0, CAST(ceil(mean + 12 * sqrt(mean) + 40) AS BIGINT))) AS k FROM m),
+f AS (SELECT source, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below FROM k),
+t AS (SELECT source, list(below ORDER BY k) AS below FROM f GROUP BY source),
+d AS (SELECT d.doc_id, d.source, d.text, t.below,
+             concat('0x', substr(sha256(concat('mix|', coalesce(CAST(doc_id AS VARCHAR), concat('text ', coalesce(text, ''))))), 1, 13))::BIGINT / 4503599627370496.0 AS u
+      FROM documents d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, CAST(unnest(generate_series(1, len(list_filter(below, lambda s: s <= u)))) AS INTEGER) AS copy, text FROM d""",
     "op4_suffix_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
