@@ -3,8 +3,9 @@
 Fixed patterns find assigned secrets, access keys and long hexadecimal runs. Beyond them, each long token is scored by two
 character Markov models of first order, one of random strings and one of ordinary identifiers; a token whose
 log-likelihood ratio a character exceeds a threshold is a span of kind markov. The models are counted from labelled
-samples: random strings made from SHA-256 digests in the usual encodings, and the words of all documents, alone and joined as
-identifiers join them. They have at most 68 * 68 entries, whatever the corpus. Words are added up before their pairs of characters are
+samples. Random: SHA-256 digests in the usual encodings. Identifiers: the words of all documents, alone, joined as identifiers join them (camel
+case, _ - /), and in capitals; a built-in list of common words likewise; and made numbers and rules as plain text has them: dates,
+versions, counters, lines of one character. The models have at most 68 * 68 entries, whatever the corpus. Words are added up before their pairs of characters are
 counted; a corpus of more pairs than the random side's is scaled down to as many, so that the fallback weighs the same at every
 table size.
 
@@ -42,11 +43,13 @@ IDENTIFIER_WORDS = (
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Nats a character by which the random model must be likelier.
-MARGIN = 0.6
+MARGIN = 1.8
+#: Matches of a text that are placed at once: the cost of a text grows with its matches times this.
+STEP = 256
 #: How many pairs the fallback on single characters counts as.
 BACKOFF = 8.0
-#: Random strings made that the models are fitted on.
-RANDOM_ROWS = 4096
+#: Random strings made that the models are fitted on, and rows of made numbers.
+RANDOM_ROWS, NUMBER_ROWS = 4096, 4096
 
 
 def _matches(docs: DataFrame, text: Column, name: str) -> DataFrame:
@@ -73,7 +76,14 @@ def _spans(matches: Column, kind: str, keep=None) -> Column:
         ok = keep(x.s) if keep else F.lit(True)
         return F.struct(end.alias("at"), F.when(ok, F.concat(acc.spans, span)).otherwise(acc.spans).alias("spans"))
 
-    placed = F.aggregate(both, start, add, lambda acc: acc.spans)
+    def steps(acc, part):  # a list grows by copying, so STEP matches make a list of their own
+        begin = F.struct(acc.at.alias("at"), F.array().cast(empty).alias("spans"))
+        done = F.element_at(F.transform(F.array(F.aggregate(part, begin, add)), lambda x: F.struct(x.at.alias("at"), F.concat(acc.parts, F.array(x.spans)).alias("parts"))), 1)
+        return F.struct(done.at.alias("at"), done.parts.alias("parts"))
+
+    parts = F.transform(F.sequence(F.lit(1), F.size(matches.found), F.lit(STEP)), lambda i: F.slice(both, i, F.lit(STEP)))
+    many = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{empty}>").alias("parts")), steps, lambda acc: F.flatten(acc.parts))
+    placed = F.when(F.size(matches.found) <= STEP, F.aggregate(both, start, add, lambda acc: acc.spans)).otherwise(many)
     return F.when(F.size(matches.found) > 0, placed).otherwise(F.array().cast(empty))
 
 
@@ -92,6 +102,25 @@ def identifier_strings(docs: DataFrame, text: str) -> DataFrame:
     return strings.select("x.s", "x.n").filter("n > 0").groupBy("s").agg(F.sum("n").alias("n"))
 
 
+def number_strings(spark) -> DataFrame:
+    """s: made numbers as identifiers have them, between joints and letters: dates, times, versions, counters, sizes, and rules of one character."""
+    k = F.col("id")
+    h = F.xxhash64(F.lit("numbers"), k)
+    pick = lambda bits, n: F.pmod(F.shiftright(h, bits), F.lit(n))
+    two = lambda v: F.lpad(v.cast("string"), 2, "0")
+    year, month, day, hour, minute = (pick(0, 60) + 1980).cast("string"), two(pick(6, 12) + 1), two(pick(12, 28) + 1), two(pick(18, 24)), two(pick(24, 60))
+    small, large, counter = pick(30, 12).cast("string"), pick(36, 100_000).cast("string"), F.lpad(pick(42, 300).cast("string"), 3, "0")
+    size = F.element_at(F.array(*(F.lit(str(2**i)) for i in range(4, 15))), (pick(48, 11) + 1).cast("int"))
+    letter = F.element_at(F.split(F.lit("abcdefghijklmnopqrstuvwxyz"), ""), (pick(52, 26) + 1).cast("int"))
+    forms = [F.concat_ws(sep, year, month, day) for sep in ("-", "_", "", "/", ".")]
+    forms += [F.concat_ws(sep, F.lit(""), year, month, day, F.lit("")) for sep in ("-", "_")] + [F.concat(year, month, day, F.lit("T"), hour, minute), F.concat_ws("_", F.concat(year, month, day), F.concat(hour, minute))]
+    forms += [F.concat(mark, F.concat_ws(".", small, pick(54, 20).cast("string"), pick(58, 10).cast("string"))) for mark in (F.lit("v"), F.lit("-"), F.lit("_v"))]
+    forms += [F.concat(F.lit(joint), n) for joint in "_-/" for n in (small, counter, large, size)] + [F.concat(letter, n) for n in (small, counter, size)]
+    forms += [F.concat(n, F.lit(joint), letter) for joint in "_-" for n in (small, size)] + [F.concat(F.upper(letter), small), F.concat(F.lit("-v"), small, F.lit("-")), large, F.concat(large, counter)]
+    forms += [F.repeat(F.lit(mark), (pick(20, 9) + 3).cast("int")) for mark in "=-_/+"]
+    return spark.range(NUMBER_ROWS).select(F.explode(F.array(*forms)).alias("s"))
+
+
 def labelled_strings(docs: DataFrame, text: str) -> DataFrame:
     """s, n, kind (random, common or corpus): the labelled samples that the models are counted from."""
     spark = docs.sparkSession
@@ -104,7 +133,9 @@ def labelled_strings(docs: DataFrame, text: str) -> DataFrame:
     known = IDENTIFIER_WORDS.split()
     common = F.array(*(F.lit(" ".join(known[k::7] * 3 + known[::-1][k::5])) for k in range(7)))
     common = identifier_strings(spark.range(7).select(F.element_at(common, (F.col("id") + 1).cast("int")).alias("t")), "t")
-    return random.union(common.select("s", "n", F.lit("common"))).union(identifier_strings(docs, text).select("s", "n", F.lit("corpus")))
+    numbers = number_strings(spark).groupBy("s").count()
+    in_capitals = lambda rows, kind: rows.select(F.explode(F.array(F.struct("s", "n"), F.struct(F.upper("s").alias("s"), "n"))).alias("x")).select("x.s", "x.n", F.lit(kind))
+    return random.union(in_capitals(common, "common")).union(numbers.select("s", "count", F.lit("common"))).union(in_capitals(identifier_strings(docs, text), "corpus"))
 
 
 def fit(docs: DataFrame, *, text: str = "text") -> list[float]:

@@ -198,7 +198,7 @@ def test_op3_decoders():
     chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + b"\0\0\0\0"
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (30).to_bytes(4, "big") + (20).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
     assert (images.decode(png) == grey).all() and (images.decode(images.encode(grey)) == grey).all()
-    assert images.decode(None) is None and images.decode(b"") is None and images.decode(b"P5 9 9 255\nx") is None and images.describe(None) == []
+    assert images.decode(None) is None and images.decode(b"") is None and images.decode(b"P5 9 9 255\nx") is None and len(images.describe(None)) == 0
 
 
 def test_op4_digest(spark):
