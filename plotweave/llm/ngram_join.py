@@ -512,8 +512,10 @@ class Join:
 
     def open_groups(self, around: DataFrame) -> DataFrame:
         """Rows of centers whose classes are in several components."""
-        several = around.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("center")
-        return store(around.join(several.hint("merge"), "center"), "around")  # Spark splits a merge join's sides where a center has many rows
+        several = store(around.groupBy("center").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("center"), "several")
+        found = store(around.join(several.hint("merge"), "center"), "around")  # two plain tables: Spark splits the side where a center has many rows
+        discard(several)
+        return found
 
 
 #: A cell: two blocks of a center's classes.
@@ -523,9 +525,9 @@ _CELL = ("center", "low", "high")
 def _dealt(around: DataFrame, *blocks) -> DataFrame:
     """around with each row once for each cell that its class is in. blocks: how many blocks a center's rows make, at least.
 
-    The counts meet the rows by a merge join, whose sides Spark splits where a center has many rows.
+    The counts are written first, so that the rows meet them by a plain merge join, whose sides Spark splits where a center has many rows.
     """
-    counts = around.groupBy("center").agg(F.ceil(F.greatest(*blocks, F.lit(1.0))).alias("blocks"))
+    counts = store(around.groupBy("center").agg(F.ceil(F.greatest(*blocks, F.lit(1.0))).alias("blocks")), "counts")
     dealt = around.join(counts.hint("merge"), "center").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
