@@ -4,8 +4,8 @@ Corners are found at several scales (Harris measure, the strongest of each scale
 from their patch's intensity centroid, and are described by binary tests between blurred places of the patch, turned by the orientation.
 Large images are worked on in tiles with margins, so that memory is bounded and no corner is lost at a tile's edge.
 
-Descriptors that differ in DISTANCE bits at most match. They have BANDS = DISTANCE + 1 bands of bits, so two that match are equal in one
-band at least: tables on the bands lose no match. Queries and images that meet with AGREE corners or more are compared as a whole: all
+Descriptors that differ in DISTANCE bits at most match. They have BANDS = DISTANCE + 1 bands of 64 bits, so two that match are equal in one
+band at least: tables on the bands lose no match, and bands that long seldom meet by chance. Queries and images that meet with AGREE corners or more are compared as a whole: all
 Hamming distances between their corners, then the largest number of matches that agree on one similarity transform. Pairs with
 AGREE such matches or more are copies.
 
@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import bit_table, perhaps_in, store
+from plotweave.llm import bytewords
+from plotweave.llm.common import bit_table, discard, perhaps_in, store
 
 #: Pixels (of the scaled image) a corner, corners of a scale at least, the scales, patch radius, binary tests, bands of their bits.
-SPARSE, FEW, SCALES, RADIUS, TESTS, BANDS = 200, 12, (1.0, 0.7, 0.5), 12, 256, 8
+SPARSE, FEW, SCALES, RADIUS, TESTS, BANDS = 200, 12, (1.0, 0.7, 0.5), 12, 256, 4
 #: Bits in which matching descriptors may differ: fewer than there are bands.
 DISTANCE = BANDS - 1
 #: Matches that must agree on a transform; how far they may lie from it: pixels, radians, powers of two.
@@ -42,8 +43,8 @@ AGREE, PIXELS, ANGLE, POWER = 6, 6.0, 0.3, 0.3
 TILE, MARGIN = 1_024, RADIUS + 6
 #: A corner as bytes: x, y (in the whole image), scale, angle, bits.
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "<u4", TESTS // 32)])
-#: Digests that a task remembers, so as to describe copies once.
-SEEN = 200_000
+#: Digests that a task remembers, so as to describe copies once; images and corner lists that it works on at once.
+SEEN, SLICE = 200_000, 256
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
@@ -208,46 +209,54 @@ def agreeing(q: np.ndarray, i: np.ndarray) -> int:
     return best
 
 
-def described(images: DataFrame) -> DataFrame:
-    """id, one, two (the digest of the bytes), corners (of the first rows of a digest that a task sees, else null). images: id, image."""
+def described(images: DataFrame, load=None) -> DataFrame:
+    """id, one, two (the digest of the bytes), corners (of the first rows of a digest that a task sees, else null).
+
+    images: id, image. load makes an image's bytes of its id and the value in image, where that isn't the bytes themselves.
+    """
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in batches:
-            names, corners = [], []
-            for raw in batch.column(1).to_pylist():
-                name = hashlib.blake2b(raw or b"", digest_size=16).digest()
-                names.append(name)
-                corners.append(None if name in seen else describe(decode(raw)).tobytes())
-                if len(seen) < SEEN:
-                    seen.add(name)
-            key = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(corners, pa.binary())], ["id", "one", "two", "corners"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):  # so that a task holds few images at once
+                batch = whole.slice(begin, SLICE)
+                names, corners = [], []
+                for row, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    raw = raw.as_py() if load is None else load(row, raw.as_py())
+                    name = hashlib.blake2b(raw or b"", digest_size=16).digest()
+                    names.append(name)
+                    corners.append(None if name in seen else describe(decode(raw)).tobytes())
+                    if len(seen) < SEEN:
+                        seen.add(name)
+                key = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(corners, pa.binary())], ["id", "one", "two", "corners"])
 
     return store(images.select("id", "image").mapInArrow(run, "id long, one long, two long, corners binary"), "images")
 
 
 def banded(found: DataFrame) -> DataFrame:
-    """one, number (of the corner), band of each image with corners."""
+    """one, number (of the corner), band (its 64 bits and place, mixed to one number) of each image with corners."""
 
     def run(batches):
-        for batch in batches:
-            rows = [np.frombuffer(x, CORNER)["bits"] for x in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in rows], dtype=np.int64)
-            words = np.concatenate([np.zeros((0, BANDS), "<u4"), *rows])
-            band = (words.astype(np.int64) | np.arange(BANDS) << 32).reshape(-1)
-            number = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes * BANDS)), pa.array(np.repeat(number, BANDS).astype(np.int32)), pa.array(band)], ["one", "number", "band"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(begin, SLICE)
+                rows = [np.frombuffer(x, CORNER)["bits"] for x in batch.column(1).to_pylist()]
+                sizes = np.array([len(x) for x in rows], dtype=np.int64)
+                words = np.ascontiguousarray(np.concatenate([np.zeros((0, TESTS // 32), "<u4"), *rows])).view("<u8").astype(np.uint64)
+                band = bytewords.mix(words + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).reshape(-1)
+                number = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes * BANDS)), pa.array(np.repeat(number, BANDS).astype(np.int32)), pa.array(band)], ["one", "number", "band"])
 
     return found.filter("length(corners) > 0").select("one", "corners").mapInArrow(run, "one long, number int, band long")
 
 
-def copies(images: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def copies(images: DataFrame, queries: DataFrame, load=None, load_query=None) -> tuple[DataFrame, DataFrame]:
     """(query, match, pairs): each query id, the smallest ids of the classes it is a copy of, and the corners that agree; and id, rep of all images.
 
-    images and queries: id, image. Equal images are no copies of one another here: they are one class.
+    images and queries: id, image; load and load_query as in described(). Equal images are no copies of one another here: they are one class.
     """
-    index, asked = described(images.filter("id is not null")), described(queries.filter("id is not null"))
+    index, asked = described(images.filter("id is not null"), load), described(queries.filter("id is not null"), load_query)
     probes = store(banded(asked).distinct(), "probes")
     kept, flag = perhaps_in(banded(index), F.xxhash64("band"), bit_table(probes.select(F.xxhash64("band").alias("id"))))
     rows = kept.filter(flag).select("band", F.col("one").alias("i")).distinct()
@@ -258,12 +267,16 @@ def copies(images: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]
     both = pairs.join(one_of(asked, "q"), "q").join(one_of(index, "i"), "i").filter("not (q = i and q2 = i2)")
 
     def run(batches):
-        for batch in batches:
-            n = [agreeing(np.frombuffer(a, CORNER), np.frombuffer(b, CORNER)) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            ok = pa.array([x >= AGREE for x in n])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(ok) for k in range(4)), pa.array(n, pa.int64()).filter(ok)], ["q", "q2", "i", "i2", "pairs"])
-
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(begin, SLICE)
+                n = [agreeing(np.frombuffer(a, CORNER), np.frombuffer(b, CORNER)) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+                ok = pa.array([x >= AGREE for x in n])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(ok) for k in range(4)), pa.array(n, pa.int64()).filter(ok)], ["q", "q2", "i", "i2", "pairs"])
+
+    discard(probes)
     matched = store(both.select("q", "q2", "i", "i2", "q_corners", "i_corners").mapInArrow(run, "q long, q2 long, i long, i2 long, pairs long"), "matched")
+    discard(pairs)
     members = index.groupBy("one", "two").agg(F.min("id").alias("rep")).join(index.select("one", "two", "id").distinct(), ["one", "two"])
     reps = members.filter("id = rep").select(F.col("one").alias("i"), F.col("two").alias("i2"), F.col("rep").alias("match"))
     found = matched.join(reps, ["i", "i2"]).join(asked.select(F.col("one").alias("q"), F.col("two").alias("q2"), F.col("id").alias("query")).distinct(), ["q", "q2"])
@@ -296,26 +309,21 @@ def edited(grey: np.ndarray, number: int) -> np.ndarray:
     return np.rot90(cut) if number % 2 else cut
 
 
-def of_vectors(vectors: DataFrame, edit: bool) -> DataFrame:
-    """id, image of the rows of a table of vectors (vec_id, embedding); edit: as edited copies."""
+def image_of(name: int, vector: list | None) -> bytes | None:
+    return None if vector is None else encode(rendered([0.0 if x is None else x for x in vector]))
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for name, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grey = None if v is None else rendered([0.0 if x is None else x for x in v])
-                out.append(None if grey is None else encode(edited(grey, name // 20) if edit and name is not None else grey))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "image"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "id long, image binary")
+def edited_image_of(name: int, vector: list | None) -> bytes | None:
+    return None if vector is None else encode(edited(rendered([0.0 if x is None else x for x in vector]), name // 20))
 
 
 def digest(vectors: DataFrame) -> DataFrame:
     """kind, a, b, pairs: 'match' rows with a query's id and the smallest id of a class it is a copy of; 'member' rows with an id and its class's smallest id.
 
-    Queries are the edited copies of all rows whose id is divisible by 20.
+    Queries are the edited copies of all rows whose id is divisible by 20. The images are rendered where they are described.
     """
-    found, reps = copies(of_vectors(vectors, False), of_vectors(vectors.filter("vec_id % 20 = 0"), True))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("image"))
+    found, reps = copies(rows, rows.filter("id % 20 = 0"), image_of, edited_image_of)
     return (
         found.select(F.lit("match").alias("kind"), F.col("query").alias("a"), F.col("match").alias("b"), "pairs")
         .union(reps.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(None).cast("long").alias("pairs")))
