@@ -1,13 +1,14 @@
 """Language-model scoring with a hidden Markov model.
 
 Symbols are the most frequent tokens of the training rows, classes of all other tokens by their last bytes, and the end. A token outside
-the symbols has the probability of its class in a state times its share of the class, which its training count gives; so every token
-has its own probability, unseen ones too, and a text's probabilities sum to one over all texts.
+the symbols has the probability of its class in a state times its share of the class, which its training count gives. In each class the mass
+of one unseen token is kept back, which every unseen token of the class gets: one probability for each, not shared among them.
 
 Training counts every token of every training row (a shuffle that grows with the corpus), then runs Baum-Welch: each task
 adds up the expected counts of its partition by scaled forward and backward recursion, Spark sums them, and the driver, which
-holds states x symbols numbers whatever the corpus, updates the model. Long texts are cut into chunks for training only. Scoring is the
-exact scaled forward recursion over each whole text.
+holds states x symbols numbers whatever the corpus, updates the model. It starts from clusters: centers from SEED_TEXTS distinct texts, chosen by
+hash, then one pass in which every text of the corpus adds its counts to its nearest center. Long texts are cut into chunks for training only.
+Scoring is the exact scaled forward recursion over each whole text.
 
 The counts of the most frequent tokens are broadcast, a fixed number of them; those of all others are joined.
 
@@ -25,15 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotweave.llm import bytewords
-from plotweave.llm.common import remainder, store
+from plotweave.llm.common import fresh, remainder, store
 
 #: Latent states, rounds of Baum-Welch, frequent tokens with symbols of their own, classes of the others.
 STATES, ROUNDS, FREQUENT, CLASSES = 8, 4, 15_000, 1_024
 #: Frequent tokens whose counts are broadcast.
 KNOWN = 262_144
-#: Tokens in a chunk of training; texts that the first clusters are made from; weight of the corpus in a state's probabilities.
+#: Tokens in a chunk of training; texts that the first centers are made from; weight of the corpus in a state's probabilities.
 CHUNK, SEED_TEXTS, PRIOR = 128, 2_000, 200.0
 #: Bytes of text in a block; token types that a task adds up before it writes them.
 BLOCK, HELD = 8_000_000, 2_000_000
@@ -218,29 +220,80 @@ def chunks(at: np.ndarray, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     return np.append(np.repeat(at[:-1], pieces) + nth * size, at[-1]), nth == 0
 
 
-def first_model(vocab: Vocabulary, sample: list[np.ndarray], states: int) -> Model:
-    """States from clusters of whole texts, farthest first and then k-means, by their shares of the symbols."""
-    size = len(vocab.shares)
+def _shares(texts: list[tuple[np.ndarray, np.ndarray]], top: np.ndarray) -> np.ndarray:
+    """Square roots of the texts' shares of the top symbols. texts: symbols and their counts."""
+    column = np.full(int(max([int(top.max(initial=0)), *(int(s.max(initial=0)) for s, _ in texts)])) + 1, -1, dtype=np.int64)
+    column[top] = np.arange(len(top))
+    x = np.zeros((len(texts), len(top)), dtype=np.float32)
+    for i, (symbols, counts) in enumerate(texts):
+        at = column[symbols]
+        x[i, at[at >= 0]] = counts[at >= 0] / max(counts.sum(), 1)
+    return np.sqrt(x)
+
+
+def first_centers(sample: list[tuple[np.ndarray, np.ndarray]], top: np.ndarray, states: int) -> np.ndarray:
+    """Centers of clusters of whole texts, farthest first and then k-means."""
+    x, sizes = _shares(sample, top), np.array([c.sum() for _, c in sample])
+    chosen = [int(np.argmax(sizes))]
+    while len(chosen) < min(states, len(x)):
+        far = np.min([((x - x[c]) ** 2).sum(axis=1) for c in chosen], axis=0) * (sizes >= 20)
+        chosen.append(int(np.argmax(far)))
+    centers = x[chosen]
+    for _ in range(15):
+        near = _nearest(x, centers)
+        centers = np.stack([x[near == k].mean(axis=0) if (near == k).any() else centers[k] for k in range(len(centers))])
+    return centers
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.argmin((centers**2).sum(axis=1)[None] - 2 * x @ centers.T, axis=1)
+
+
+def first_model(vocab: Vocabulary, own: np.ndarray | None, states: int) -> Model:
+    """own: the counts of each symbol (row) in the texts of each cluster (column)."""
     emit = np.repeat(vocab.shares[:, None], states, axis=1)
-    if sample:
-        counts = np.stack([np.bincount(s, minlength=size).astype(np.float32) for s in sample])
-        top = np.argsort(-vocab.shares[:-1], kind="stable")[:600]
-        x = np.sqrt(counts[:, top] / np.maximum(counts.sum(axis=1, keepdims=True), 1))
-        chosen = [int(np.argmax(counts.sum(axis=1)))]
-        while len(chosen) < min(states, len(x)):
-            far = np.min([((x - x[c]) ** 2).sum(axis=1) for c in chosen], axis=0) * (counts.sum(axis=1) >= 20)
-            chosen.append(int(np.argmax(far)))
-        centers = x[chosen]
-        for _ in range(15):
-            near = np.argmin(((x[:, None, :] - centers[None]) ** 2).sum(axis=2), axis=1) if len(x) * len(centers) * 600 < 2e7 else np.argmin((centers**2).sum(axis=1)[None] - 2 * x @ centers.T, axis=1)
-            centers = np.stack([x[near == k].mean(axis=0) if (near == k).any() else centers[k] for k in range(len(centers))])
-        for k in range(len(centers)):
-            own = counts[near == k].sum(axis=0).astype(np.float64)
-            emit[:, k] = (own + PRIOR * vocab.shares) / (own.sum() + PRIOR)
+    if own is not None:
+        emit[:, : own.shape[1]] = (own + PRIOR * vocab.shares[:, None]) / (own.sum(axis=0) + PRIOR)
     even = np.full(states, 1 / states)
     return Model(even, even, np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit)
 
 
+def clustered(coded: DataFrame, vocab: Vocabulary, states: int) -> np.ndarray | None:
+    """The counts of each symbol in all texts that are nearest to each center; None without texts."""
+    spark = coded.sparkSession
+    name = F.xxhash64("symbols").alias("name")
+    last = coded.select(name).distinct().orderBy("name").limit(SEED_TEXTS).agg(F.max("name")).first()[0]
+    if last is None:
+        return None
+    kind = "name long, symbols array<long>, counts array<long>"
+
+    def sparse(batches):
+        for batch in batches:
+            found = [np.unique(np.frombuffer(x.as_buffer(), dtype=np.uint16), return_counts=True) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.int64) for s, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], ["name", "symbols", "counts"])
+
+    picked = coded.select(name, "symbols").filter(F.col("name") <= last).dropDuplicates(["name"]).mapInArrow(sparse, kind)
+    sample = [(np.array(r["symbols"]), np.array(r["counts"])) for r in picked.orderBy("name").collect()]  # SEED_TEXTS rows of as many numbers as symbols, at most
+    size, top = len(vocab.shares), np.argsort(-vocab.shares[:-1], kind="stable")[:600]
+    shared = spark.sparkContext.broadcast((first_centers(sample, top, states), top))
+
+    def run(batches):
+        centers, top = shared.value
+        own = np.zeros((size, len(centers)))
+        for part in bytewords.blocks(batches, "symbols", 1_500_000):
+            texts = [np.unique(np.frombuffer(x.as_buffer(), dtype=np.uint16), return_counts=True) for x in part.column(0)]
+            for (symbols, counts), k in zip(texts, _nearest(_shares(texts, top), centers).tolist(), strict=True):
+                own[symbols, k] += counts
+        used = np.flatnonzero(own.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(own[used, k].copy()) for k in range(len(centers)))], ["row", *(f"e{k}" for k in range(len(centers)))])
+
+    columns = [f"e{k}" for k in range(len(shared.value[0]))]
+    summed = coded.mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in columns)).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toArrow().to_pandas()
+    own = np.zeros((size, len(columns)))
+    own[summed["row"].to_numpy()] = summed[columns].to_numpy()
+    return own
+
+
 def updated(model: Model, vocab: Vocabulary, start: np.ndarray, middle: np.ndarray, moves: np.ndarray, emissions: np.ndarray) -> Model:
     share = lambda x, low: (x + low) / (x.sum(axis=-1, keepdims=True) + low * x.shape[-1])
     return Model(share(start, 0.1), share(middle, 0.1), share(moves, 0.1), (emissions + PRIOR * vocab.shares[:, None]) / (emissions.sum(axis=0) + PRIOR))
@@ -249,8 +302,7 @@ def updated(model: Model, vocab: Vocabulary, start: np.ndarray, middle: np.ndarr
 def baum_welch(coded: DataFrame, vocab: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
     """The model after so many rounds over all rows of coded (symbols, as 16-bit numbers), and the log-likelihood before each."""
     spark = coded.sparkSession
-    sample = [np.frombuffer(r[0], dtype=np.uint16).astype(np.int64) for r in coded.select(F.substring("symbols", 1, 4_000).alias("s"), F.xxhash64("symbols").alias("o")).orderBy("o").limit(SEED_TEXTS).select("s").collect()]
-    model, history = first_model(vocab, sample, states), []
+    model, history = first_model(vocab, clustered(coded, vocab, states), states), []
     size = len(vocab.shares)
     columns = [f"e{k}" for k in range(states)]
     for _ in range(rounds):
@@ -300,12 +352,12 @@ def fit(train: DataFrame, *, states: int = STATES, rounds: int = ROUNDS) -> tupl
 
 
 def score(docs: DataFrame, train: DataFrame, *, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc, n_tokens, n_known, train_tokens, base_score, score of each row of docs; the columns flagged in docs as extra pass through."""
-    docs, train = docs.withColumnsRenamed({doc: "doc", text: "text"}), train.select(F.col(text).alias("text"))
-    model, vocab, counts, _ = fit(train, **options)
+    """doc, n_tokens, n_known, train_tokens, base_score, score of each row of docs, behind its other columns, which pass through whatever they are called."""
+    model, vocab, counts, _ = fit(train.select(F.col(text).alias("text")), **options)
     shared = docs.sparkSession.sparkContext.broadcast((model, vocab))
-    extra = [c for c in docs.columns if c not in ("doc", "text")]
-    docs = docs.select("doc", *extra, "text")
+    others = [c for c in docs.columns if c not in (doc, text)]
+    extra = [f"passed {k}" for k in range(len(others))]
+    docs = docs.select(F.col(doc).alias("doc"), *(F.col(f"`{c}`").alias(e) for c, e in zip(others, extra, strict=True)), F.col(text).alias("text"))
     bottom = math.log10(max(vocab.tokens + LOW * (vocab.types + 1), 1e-300))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
 
@@ -358,10 +410,12 @@ def score(docs: DataFrame, train: DataFrame, *, doc: str = "doc_id", text: str =
     sums = looked.groupBy("text_name").agg(F.sum(F.col("times") * F.log10(F.col("c") + LOW)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     joined = found.drop("rare", "times").join(sums, "text_name", "left")
     more = F.coalesce("more", F.lit(0.0))
-    return joined.select(
-        "doc", *extra, "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * bottom).alias("base_score"), (F.col("likely") + more).alias("score"),
-    )
+    results = {
+        "n_tokens": F.col("n_tokens"), "n_known": F.col("known") + F.coalesce("more_known", F.lit(0)), "train_tokens": F.lit(vocab.tokens).cast("long"),
+        "base_score": F.col("base") + more - F.col("n_tokens") * bottom, "score": F.col("likely") + more,
+    }
+    taken = docs.sparkSession.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ["doc", *others]]))
+    return joined.select("doc", *(F.col(f"`{e}`").alias(c) for c, e in zip(others, extra, strict=True)), *(v.alias(fresh(taken, k)) for k, v in results.items()))
 
 
 def held_out(doc: str = "doc_id") -> Column:
