@@ -2,9 +2,9 @@
 
 Each shard (a block of training texts inside a task) gets a suffix array over words: the places where a suffix
 starts, sorted by the words that follow. It is sparse: a place is kept only if its first two words open some test
-window, since no other suffix can match one. Every test suffix is then binary-searched in every shard; the range
-it finds holds all verbatim occurrences with their locations. Neighbouring matches on one diagonal join to the
-longest verbatim match.
+window, since no other suffix can match one. Every test suffix of a window's length or more is then binary-searched in every shard by its
+first window; the range it finds holds all verbatim occurrences with their locations. The suffixes that follow one another on one diagonal
+(the same distance between the item's words and the document's) join to the longest verbatim match.
 
 The test side is cut into chunks of bounded size, each of them broadcast; a shard goes through all chunks. The training
 side is never shuffled and never leaves its task.
@@ -211,21 +211,24 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row."""
-    found, name = report(docs.select("doc_id", "text"), benchmark, **options)
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row; longest and longest_at: the words of its longest verbatim match
+    and the first of the document's words where one of that length begins (0 and null without a match)."""
+    found, name = report(docs.select("doc_id", "text"), benchmark, locations=True, **options)
     r = F.col(name)
+    best = F.array_max(F.transform(r.matches, lambda m: F.struct(m.n_words.alias("n"), (-m.doc_word).alias("at"))))
     return found.select(
         "doc_id", r.n_words.alias("n_words"), r.n_hit.alias("n_hit"), F.size(r["items"]).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", r["items"]), 256).alias("items_sha256"), r.contaminated.alias("contaminated"),
+        F.coalesce(best.n, F.lit(0)).cast("long").alias("longest"), (-best["at"]).alias("longest_at"),
     )
 
 
 #: The digest of the plain form, for tests.
-def plain_digest(text: str | None, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> tuple[int, int, int, str, bool]:
+def plain_digest(text: str | None, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> tuple[int, int, int, str, bool, int, int | None]:
     from plotweave.llm.common import split_words
 
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    words, hit, found = split_words(pattern, text), set(), set()
+    words, hit, found, longest = split_words(pattern, text), set(), set(), (0, 0)
     for item, t in items:
         own = split_words(pattern, t)
         n = min(window, len(own))
@@ -234,4 +237,11 @@ def plain_digest(text: str | None, items: list[tuple[str | None, str | None]], w
             if n and tuple(words[i : i + n]) in grams:
                 hit |= set(range(i, i + n))
                 found |= {item} - {None}
-    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+                for j in range(len(own) - n + 1):
+                    if own[j : j + n] == words[i : i + n]:
+                        k = n
+                        while i + k < len(words) and j + k < len(own) and words[i + k] == own[j + k]:
+                            k += 1
+                        longest = max(longest, (k, -i))
+    sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    return len(words), len(hit), len(found), sha, bool(hit), longest[0], -longest[1] if longest[0] else None

@@ -85,16 +85,19 @@ d AS (SELECT d.doc_id, d.source, d.text, t.below,
 SELECT doc_id, source, CAST(unnest(generate_series(1, len(list_filter(below, lambda s: s <= u)))) AS INTEGER) AS copy, text FROM d""",
     "op4_suffix_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
-       FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
-sizes AS (SELECT DISTINCT n FROM bw),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, row_number() OVER () AS line, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bp AS (SELECT item, line, least(10, len(w)) AS n, j, array_to_string(w[j:j + least(10, len(w)) - 1], ' ') AS g
+       FROM (SELECT item, line, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS j FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bp),
 dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
        FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
-m AS (SELECT dw.doc_id, dw.n, dw.i, bw.item FROM dw JOIN bw USING (n, g)),
+m AS (SELECT dw.doc_id, dw.n, dw.i, bp.item, bp.line, bp.j FROM dw JOIN bp USING (n, g)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM m)) GROUP BY 1),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1),
+run AS (SELECT doc_id, n, i, line, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, line, i - j ORDER BY i) AS island FROM m),
+long AS (SELECT doc_id, min(i) - 1 AS at, min(n) + count(*) - 1 AS words FROM run GROUP BY doc_id, line, diagonal, island),
+best AS (SELECT doc_id, max(words) AS longest, arg_max(at, words * 1000000000 - at) AS longest_at FROM long GROUP BY doc_id)
 SELECT doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest, longest_at
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN best USING (doc_id)""",
 }
