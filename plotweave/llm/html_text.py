@@ -112,7 +112,7 @@ def blocks(page: str | None) -> list[Block]:
                     if a[1].lower() == GOLD:
                         gold = value == "1"
                     elif a[1].lower() in ("class", "id", "role"):
-                        new |= {f".{w}" for w in NAME_WORD.findall(_CAMEL.sub(r"\1 \2", value).lower())[:12]}
+                        new |= {f".{w}" for w in NAME_WORD.findall(_CAMEL.sub(r"\1 \2", value).lower())}
             stack.append((tag, names | new if new - names else names, skipped, gold))
             if tag in RAW:
                 end = RAW_END[tag].search(page, at)

@@ -22,13 +22,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm import bytewords
-from plotweave.llm.common import scratch
+from plotweave.llm.common import scratch, store
 
 #: Bytes of a segment, of an archive, and of a chunk of a body.
 SEGMENT, ARCHIVE, CHUNK = 16_384, 8_000_000, 4_096
@@ -107,9 +108,23 @@ def records_of(page: int | None, url: str | None, payload: bytes, refers: int |
     return out
 
 
+def plain(archive: bytes) -> bytes:
+    """The archive without its compression: gzip members one behind the other, or none."""
+    if not archive.startswith(b"\x1f\x8b"):
+        return archive
+    out = []
+    while archive:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(archive))
+        if not member.eof:
+            raise ValueError("gzip member without an end")
+        archive = member.unused_data
+    return b"".join(out)
+
+
 def parse(archive: bytes):
-    """(headers in lower case, block) of each record of an archive."""
-    at = 0
+    """(headers in lower case, block) of each record of an archive, plain or of gzip members."""
+    archive, at = plain(archive), 0
     while at < len(archive):
         end = archive.find(b"\r\n\r\n", at)
         if end < 0 or not archive.startswith(b"WARC/", at):
@@ -128,8 +143,7 @@ def with_revisits(pages: DataFrame, *, page: str, html: str, least: int) -> Data
     rows = pages.withColumn("payload", F.coalesce(F.col(html).cast("binary"), F.lit("").cast("binary")))
     known = rows.filter(F.col(page).isNotNull() & (F.length("payload") >= least)).select(F.col(page).alias("page"), base32_sha1(F.col("payload")).alias("digest"))
     last = known.groupBy("digest").agg(F.max("page").alias("refers"), F.min("page").alias("low")).filter("low < refers").select("digest", "refers")
-    revisits = known.join(last, "digest").filter("page < refers").select(F.col("page"), "digest", "refers").distinct()
-    revisits.persist()
+    revisits = store(known.join(last, "digest").filter("page < refers").select(F.col("page"), "digest", "refers").distinct(), "revisits")
     if revisits.limit(REVISITS + 1).count() <= REVISITS:
         revisits = F.broadcast(revisits)
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
