@@ -94,9 +94,9 @@ dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
 m AS (SELECT dw.doc_id, dw.n, dw.i, bp.item, bp.line, bp.j FROM dw JOIN bp USING (n, g)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM m)) GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1),
-run AS (SELECT doc_id, n, i, line, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, line, i - j ORDER BY i) AS island FROM m),
-long AS (SELECT doc_id, min(i) - 1 AS at, min(n) + count(*) - 1 AS words FROM run GROUP BY doc_id, line, diagonal, island),
-best AS (SELECT doc_id, max(words) AS longest, arg_max(at, words * 1000000000 - at) AS longest_at FROM long GROUP BY doc_id)
+runs AS (SELECT doc_id, n, i, line, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, line, i - j ORDER BY i) AS island FROM m),
+spans AS (SELECT doc_id, min(i) - 1 AS first_word, min(n) + count(*) - 1 AS words FROM runs GROUP BY doc_id, line, diagonal, island),
+best AS (SELECT doc_id, max(words) AS longest, arg_max(first_word, words * 1000000000 - first_word) AS longest_at FROM spans GROUP BY doc_id)
 SELECT doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest, longest_at
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN best USING (doc_id)""",
