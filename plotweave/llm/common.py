@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from plotweave.session import table
 
-__all__ = ["annotate", "bit_table", "discard", "fresh", "perhaps_in", "remainder", "scratch", "store", "table"]
+__all__ = ["annotate", "bit_table", "discard", "fresh", "perhaps_in", "remainder", "scratch", "small_batches", "store", "table"]
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -46,6 +47,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """Where rows are large, Arrow batches of so many at most, for what runs inside: a batch is held by Spark and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Spark removes the shuffle files of a query at its end where this is set, instead of when the driver collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm import bytewords
-from plotweave.llm.common import scratch, store
+from plotweave.llm.common import scratch, small_batches, store
 
 #: Bytes of a segment, of an archive, and of a chunk of a body.
 SEGMENT, ARCHIVE, CHUNK = 16_384, 8_000_000, 4_096
@@ -169,7 +169,8 @@ def write(pages: DataFrame, path: str, *, page: str = "page_id", url: str = "url
 
     # a row is an archive but for its last end, which the writer adds; one row a file
     packed = rows.select("page", "url", "payload", "refers").mapInArrow(run, "archive binary")
-    packed.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 1).text(path)
+    with small_batches(pages.sparkSession):
+        packed.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 1).text(path)
 
 
 def _archives(held: list[bytes]) -> pa.RecordBatch:
