@@ -21,6 +21,9 @@ _SINGLES = [
     ("steam-engine", "generator", 3, 5, False, False), ("solar-panel", "solar-panel", 3, 3, False, False), ("accumulator", "accumulator", 2, 2, False, False), ("pump", "pump", 1, 2, True, False),
     ("small-lamp", "lamp", 1, 1, True, False), ("storage-tank", "storage-tank", 3, 3, False, False), ("radar", "radar", 3, 3, True, False), ("nuclear-reactor", "reactor", 5, 5, False, True),
     ("gun-turret", "ammo-turret", 2, 2, False, True), ("roboport", "roboport", 4, 4, True, True), ("offshore-pump", "offshore-pump", 1, 2, False, False),
+    ("constant-combinator", "constant-combinator", 1, 1, False, False), ("display-panel", "display-panel", 1, 1, False, False), ("gate", "gate", 1, 1, False, False), ("land-mine", "land-mine", 1, 1, False, False),
+    ("laser-turret", "electric-turret", 2, 2, True, False), ("flamethrower-turret", "fluid-turret", 2, 3, False, False), ("artillery-turret", "artillery-turret", 3, 3, False, True), ("rocket-silo", "rocket-silo", 9, 9, True, True),
+    ("pumpjack", "mining-drill", 3, 3, True, False), ("heat-exchanger", "boiler", 3, 2, False, False), ("steam-turbine", "generator", 3, 5, False, False),
 ]
 _POLES = [("small-electric-pole", 1, 2.5, 7.5), ("medium-electric-pole", 1, 3.5, 9.0), ("big-electric-pole", 2, 2.0, 30.0), ("substation", 2, 9.0, 18.0)]
 _UNDERGROUND = [("underground-belt", 5), ("fast-underground-belt", 7), ("express-underground-belt", 9)]

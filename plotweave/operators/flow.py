@@ -69,6 +69,7 @@ def simulate(entities: DataFrame, recipes: DataFrame, inputs: DataFrame, rounds:
     Items spread along lanes and hands; a machine that has received all ingredients of its recipe gives its products; machines take their ingredients
     only; chests give what they receive. Repeated until nothing is new.
     """
+    entities = graphs.cut(entities)  # read by each kind of edge, parsed once
     machines = entities.filter("recipe is not null").select(L, "idx", "recipe")
     wants = machines.join(F.broadcast(recipes.filter("side = 'in'")), "recipe").select(L, place("i", "idx").alias("node"), "item", "idx")
     gives = machines.join(F.broadcast(recipes.filter("side = 'out'")), "recipe").select(L, "idx", "item")
@@ -95,11 +96,12 @@ def simulate(entities: DataFrame, recipes: DataFrame, inputs: DataFrame, rounds:
 
 
 def verdict(entities: DataFrame, recipes: DataFrame, known: DataFrame) -> DataFrame:
-    """layout_id, problem, node, item: starved machines with each ingredient that is missing, and lanes with several items."""
+    """layout_id, problem, node, item: starved machines with each ingredient that is missing, and belts with a lane of several items, each once."""
     machines = entities.filter("recipe is not null").select(L, "idx", "recipe")
     wants = machines.join(F.broadcast(recipes.filter("side = 'in'")), "recipe").select(L, place("i", "idx").alias("node"), "item").distinct()
     starved = wants.join(known, [L, "node", "item"], "left_anti").select(L, F.lit("starved").alias("problem"), "node", "item")
-    mixed = known.filter("node like 'b:%'").groupBy(L, "node").agg(F.count_distinct("item").alias("n"), F.min("item").alias("item")).filter("n > 1")
+    lanes = known.filter("node like 'b:%'").groupBy(L, "node").agg(F.count_distinct("item").alias("n"), F.min("item").alias("item")).filter("n > 1")
+    mixed = lanes.groupBy(L, F.concat(F.lit("b:"), F.split("node", ":")[1]).alias("node")).agg(F.min("item").alias("item"))
     return starved.union(mixed.select(L, F.lit("lane_mixed").alias("problem"), "node", "item"))
 
 

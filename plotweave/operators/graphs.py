@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint(); a folder is set only where the session has none."""
+    """df with its lineage cut by checkpoint(). The folder is spark.checkpoint.dir or the context's; only a local session without either gets a temporary one."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plotweave-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="plotweave-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

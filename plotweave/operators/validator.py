@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotweave.operators import graphs
+from plotweave.operators import graphs, sequential
 from plotweave.operators import layouts as A
 
 L = "layout_id"
@@ -38,7 +38,11 @@ def _at(rows: DataFrame, entities: DataFrame, tx: Column, ty: Column) -> DataFra
 
 
 def collisions(entities: DataFrame) -> DataFrame:
-    return _issue(A.collisions(entities).join(entities, [L, "idx"]), "error", "collision")
+    """Entities on a tile that an earlier one owns, and pumps whose tile in front has an owner."""
+    dx, dy = A.vector(F.col("direction"))
+    pumps = entities.filter("name = 'offshore-pump'").withColumns({"fx": F.col("x") + F.when(dx > 0, F.col("w")).otherwise(dx), "fy": F.col("y") + F.when(dy > 0, F.col("h")).otherwise(dy)})
+    reaching = A.lookup(pumps, F.col("fx"), F.col("fy"), "other", among=entities).filter("other is not null")
+    return _issue(A.collisions(entities).join(entities, [L, "idx"]), "error", "collision").union(_issue(reaching, "error", "collision"))
 
 
 def belts(entities: DataFrame) -> DataFrame:
@@ -55,20 +59,11 @@ def belts(entities: DataFrame) -> DataFrame:
 
 
 def lone_undergrounds(entities: DataFrame) -> DataFrame:
-    """Ends without a partner: an entrance takes the nearest free exit of its name and direction ahead within reach.
-
-    Between two ends of one line and direction, entrances and exits pair like brackets wherever no entrance skips an exit, so each
-    entrance's next exit and each exit's previous entrance must name one another.
-    """
+    """Ends that are in no pair, where each entrance takes the nearest exit ahead that no earlier one has taken."""
     ends = entities.filter("kind = 'underground-belt'")
-    vertical = F.col("direction") % 8 == 0
-    sign = F.when(F.col("direction").isin(4, 8), 1).otherwise(-1)
-    rows = ends.withColumns({"line": F.when(vertical, F.col("x")).otherwise(F.col("y")), "pos": sign * F.when(vertical, F.col("y")).otherwise(F.col("x")), "out": F.col("io_type") == "output"})
-    w = Window.partitionBy(L, "name", "direction", "line").orderBy("pos", "idx")
-    far = lambda step: F.struct(step("out").over(w).alias("out"), step("pos").over(w).alias("pos"))
-    rows = rows.withColumns({"after": far(F.lead), "before": far(F.lag)})
-    paired = F.when(F.col("out"), ~F.col("before.out") & (F.col("pos") - F.col("before.pos") <= F.col("reach"))).otherwise(F.col("after.out") & (F.col("after.pos") - F.col("pos") <= F.col("reach")))
-    return _issue(rows.filter(~F.coalesce(paired, F.lit(False))), "warning", "lone_underground")
+    pairs = sequential.greedy_pairs(ends)
+    paired = pairs.select(L, F.col("entrance").alias("idx")).union(pairs.select(L, "exit"))
+    return _issue(ends.join(paired, [L, "idx"], "left_anti"), "warning", "lone_underground")
 
 
 def inserters(entities: DataFrame) -> DataFrame:
@@ -109,11 +104,28 @@ def pole_islands(entities: DataFrame, reach: float = 30.0) -> DataFrame:
 
 
 def issues(entities: DataFrame) -> DataFrame:
-    """All issues of all layouts. Rejected entities are errors of their own category and take no part in the rest."""
-    good = entities.filter("reject is null").drop("reject")
-    rejected = _issue(entities.filter("reject is not null"), "error", F.col("reject"))
-    return reduce(DataFrame.union, [rejected, collisions(good), belts(good), lone_undergrounds(good), inserters(good), power(good), pole_islands(good)])
+    """All issues of all layouts. A layout with an entity that can't be used is unparseable and has no other issue; entities off the grid are an error of
+    their layout and count in the rest on the tile that they snap to."""
+    entities = graphs.cut(entities)  # read by all checks, parsed once
+    broken = entities.filter(F.col("reject").isNotNull() & (F.col("reject") != "off_grid")).groupBy(L).agg(F.min("idx").alias("idx"))
+    whole = entities.join(broken.select(L), L, "left_anti")
+    off = whole.filter("reject = 'off_grid'").groupBy(L).agg(F.min("idx").alias("idx"))
+    layout_issue = lambda rows, category: _issue(rows.withColumns({"x": F.lit(0), "y": F.lit(0)}), "error", category)
+    good = whole.drop("reject")
+    found = [layout_issue(broken, "unparseable"), layout_issue(off, "off_grid"), collisions(good), belts(good), lone_undergrounds(good), inserters(good), power(good), pole_islands(good)]
+    return reduce(DataFrame.union, found)
 
 
 def category_counts(found: DataFrame) -> DataFrame:
     return found.groupBy(L, "severity", "category").agg(F.count("*").alias("n"))
+
+
+def feedback(found: DataFrame, most: int = 10, warnings: bool = False) -> DataFrame:
+    """layout_id, text: the first issues of a layout as lines, errors first, and how many more there are."""
+    kept = found if warnings else found.filter("severity = 'error'")
+    line = F.concat(F.lit("- ["), "category", F.lit("] at "), F.col("x").cast("string"), F.lit(", "), F.col("y").cast("string"))
+    w = Window.partitionBy(L).orderBy(F.col("severity") != "error", "category", "idx", "x", "y")
+    rows = kept.withColumns({"n": F.row_number().over(w), "of": F.count("*").over(Window.partitionBy(L))})
+    first = rows.filter(F.col("n") <= most).groupBy(L).agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("lines"), F.max("of").alias("of"))
+    more = F.when(F.col("of") > most, F.array(F.concat(F.lit("- ... and "), (F.col("of") - most).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return first.select(L, F.array_join(F.concat(F.transform("lines", lambda x: x["line"]), more), "\n").alias("text"))

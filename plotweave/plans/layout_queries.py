@@ -43,7 +43,7 @@ def asof_with_blocking(spark, sf):
 
 def power_coverage_anti(spark, sf):
     ents = entities(spark, sf)
-    poles = ents.filter("name = 'AF' and idx % 5 = 0").select(L, (F.col("x") + 0.5).alias("px"), (F.col("y") + 0.5).alias("py"), F.lit(2.5).alias("half"))
+    poles = ents.filter("name = 'AF'").select(L, (F.col("x") + 0.5).alias("px"), (F.col("y") + 0.5).alias("py"), F.lit(2.5).alias("half"))
     return A.unpowered(ents.filter("name like 'N%'"), poles).select(L, "idx")
 
 
@@ -89,7 +89,7 @@ def build_copies(spark, sf):
 
 
 def pole_components(spark, sf):
-    poles = entities(spark, sf).filter("name = 'AF' and idx % 3 = 0")
+    poles = entities(spark, sf).filter("name = 'AF'")
     found = G.components(poles.select(L, F.col("idx").alias("node")), A.near_pairs(poles, 4.0), [L])
     return found.groupBy(L).agg(F.count_distinct("root").alias("components"), F.sum("root").alias("roots"))
 
@@ -129,16 +129,17 @@ d AS (SELECT *, CASE direction WHEN 4 THEN 1 WHEN 12 THEN -1 ELSE 0 END AS dx, C
 t AS (SELECT layout_id, idx, x + i AS tx, y + j AS ty FROM e, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) WHERE i < w AND j < h),
 o AS (SELECT layout_id, tx, ty, min(idx) AS owner FROM t GROUP BY 1, 2, 3),
 f AS (SELECT d.*, o.owner AS target FROM d LEFT JOIN o ON d.layout_id = o.layout_id AND d.x + d.dx = o.tx AND d.y + d.dy = o.ty)"""
-_POLES = "p AS (SELECT * FROM e WHERE name = 'AF' AND idx % 3 = 0), g AS (SELECT a.layout_id, a.idx AS a, b.idx AS b FROM p a JOIN p b ON a.layout_id = b.layout_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16)"
+_POLES = "p AS (SELECT * FROM e WHERE name = 'AF'), g AS (SELECT a.layout_id, a.idx AS a, b.idx AS b FROM p a JOIN p b ON a.layout_id = b.layout_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16)"
 ORACLES = {
     "tile_collisions": f"{_E} SELECT layout_id, count(*) AS pairs, min(owner) AS first_owner FROM (SELECT DISTINCT t.layout_id, owner, idx FROM t JOIN o USING (layout_id, tx, ty) WHERE owner < idx) GROUP BY 1",
     "front_tile_lookup": f"{_E} SELECT layout_id, count(target) AS fed, count(*) FILTER (target IS NULL) AS ends, CAST(sum(target) AS BIGINT) AS targets FROM f GROUP BY 1",
-    "pickup_targets": f"{_E} SELECT f.layout_id, f.idx, f.target AS source, o.owner AS sink FROM f LEFT JOIN o ON f.layout_id = o.layout_id AND f.x - f.dx = o.tx AND f.y - f.dy = o.ty WHERE name = 'AF'",
+    "pickup_targets": f"""{_E.replace("WITH RECURSIVE", "WITH", 1).replace("o AS (", "o AS MATERIALIZED (", 1)}, h AS MATERIALIZED (SELECT layout_id, idx, x + dx AS px, y + dy AS py, x - dx AS qx, y - dy AS qy FROM d WHERE name = 'AF')
+SELECT h.layout_id, h.idx, a.owner AS source, b.owner AS sink FROM h LEFT JOIN o a ON h.layout_id = a.layout_id AND h.px = a.tx AND h.py = a.ty LEFT JOIN o b ON h.layout_id = b.layout_id AND h.qx = b.tx AND h.qy = b.ty""",
     "asof_with_blocking": f"""{_E}, u AS (SELECT *, direction % 8 = 0 AS v, CASE WHEN direction % 8 = 0 THEN x ELSE y END AS line, CASE WHEN direction % 8 = 0 THEN y ELSE x END AS pos, (x + y) % 2 = 1 AS isout FROM d WHERE name IN ('RF', 'AF')),
 n AS (SELECT *, CASE WHEN dx + dy > 0 THEN lead(idx) OVER q ELSE lag(idx) OVER q END AS ni, CASE WHEN dx + dy > 0 THEN lead(pos) OVER q ELSE lag(pos) OVER q END AS na,
  CASE WHEN dx + dy > 0 THEN lead(direction) OVER q ELSE lag(direction) OVER q END AS nd, CASE WHEN dx + dy > 0 THEN lead(isout) OVER q ELSE lag(isout) OVER q END AS no FROM u WINDOW q AS (PARTITION BY layout_id, name, v, line ORDER BY pos, idx))
 SELECT layout_id, idx AS entrance, ni AS exit, abs(na - pos) AS distance FROM n WHERE NOT isout AND no AND nd = direction AND abs(na - pos) <= 5""",
-    "power_coverage_anti": f"""{_E}, p AS (SELECT layout_id, x + 0.5 AS px, y + 0.5 AS py FROM e WHERE name = 'AF' AND idx % 5 = 0)
+    "power_coverage_anti": f"""{_E}, p AS (SELECT layout_id, x + 0.5 AS px, y + 0.5 AS py FROM e WHERE name = 'AF')
 SELECT layout_id, idx FROM e WHERE name LIKE 'N%' AND NOT EXISTS (SELECT 1 FROM p WHERE p.layout_id = e.layout_id AND px - 2.5 < x + w AND px + 2.5 > x AND py - 2.5 < y + h AND py + 2.5 > y)""",
     "band_proximity_join": f"{_E}, r AS (SELECT * FROM e WHERE name = 'RF') SELECT a.layout_id, count(*) AS pairs, max(b.idx) AS largest FROM r a JOIN r b ON a.layout_id = b.layout_id AND a.idx < b.idx AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 GROUP BY 1",
     "straight_runs": f"""{_E}, r AS (SELECT DISTINCT layout_id, name, direction, CASE WHEN direction % 8 = 0 THEN x ELSE y END AS line, CASE WHEN direction % 8 = 0 THEN y ELSE x END AS pos FROM e),

@@ -1,3 +1,9 @@
+import collections
+import math
+import random
+
+import numpy as np
+
 from plotweave.operators import flow, sequential
 from tests.test_layouts import entity, parsed
 
@@ -27,7 +33,7 @@ def test_starved_and_side_load(spark):
     side = [entity("transport-belt", 1, 0, 8)]  # 3, from the north onto an eastward belt: its left
     _, problems = run(spark, [*main, *side, entity("assembling-machine-1", 5, 5, size=(3, 3), recipe="engine")], [("b:0:0", "a"), ("b:3:0", "b"), ("b:3:1", "c")])
     assert ("starved", "i:4", "gear") in problems and ("starved", "i:4", "pipe") in problems
-    assert {p[1] for p in problems if p[0] == "lane_mixed"} == {"b:1:0", "b:2:0"}
+    assert {p[1] for p in problems if p[0] == "lane_mixed"} == {"b:1", "b:2"}  # a belt is named once
 
 
 def test_curve_and_underground_keep_lanes(spark):
@@ -38,10 +44,54 @@ def test_curve_and_underground_keep_lanes(spark):
 
 def test_sequential():
     assert sequential.runs_of([1, 3, 5, 7, 9, 20]) == [(1, 2, 5)] and sequential.runs_of([1, 2]) == []
-    cells = {x: frozenset({("a", x % 4)}) for x in range(12)}
-    assert sequential.best_period(cells) == (4, 0, 3) and sequential.best_period({}) is None
-    poles = [(k, float(6 * k), 0.0, 7.0) for k in range(4)] + [(9, 100.0, 0.0, 7.0)]
+    assert sequential.runs_of([0, 5, 10, 6, 7]) == [(0, 5, 3)]  # of equally long runs the one that begins first
+    assert sequential.runs_of([1, 2, 5, 6, 9, 10]) == [(1, 4, 3), (2, 4, 3)]
+    poles = np.array([(6.0 * k, 0.0, 7.0) for k in range(4)] + [(100.0, 0.0, 7.0)])
     assert sorted(sequential.tree_of(poles)) == [(0, 1), (1, 2), (2, 3)]
+    square = np.array([(0.0, 0.0, 9.0), (3.0, 4.0, 9.0), (5.0, 0.0, 9.0)])  # two wires of length 5: the straight one first
+    assert sequential.tree_of(square)[0] == (1, 2) or sequential.tree_of(square) == [(1, 2), (0, 2)]
+    star = np.array([(0.0, 0.0, 9.0)] + [(math.cos(k), math.sin(k), 1.0) for k in range(7)])
+    degrees = collections.Counter(p for pair in sequential.tree_of(star) for p in pair)
+    assert len(sequential.tree_of(star)) == 7 and max(degrees.values()) <= 7
+
+
+def test_runs_against_every_progression():
+    r = random.Random(2)
+    for _ in range(200):
+        values = sorted(r.sample(range(30), r.randrange(3, 14)))
+        left, want = set(values), []
+        while True:
+            every = []
+            for a in left:
+                for step in range(1, 30):
+                    n = 1
+                    while a + n * step in left:
+                        n += 1
+                    if n >= 3:
+                        every.append((-n, a, step))
+            if not every:
+                break
+            n, a, step = min(every)
+            want.append((a, step, -n))
+            left -= {a + k * step for k in range(-n)}
+        assert sequential.runs_of(values) == want
+
+
+def test_periods(spark):
+    """A furnace row of four cells with a head: entities count, not columns; belts don't make cells differ."""
+    row = [entity("stone-furnace", 4 * k, 2, size=(2, 2)) for k in range(4)] + [entity("inserter", 4 * k, 1) for k in range(4)] + [entity("inserter", 4 * k, 4) for k in range(4)]
+    belts = [entity("transport-belt", x, 0, 4) for x in range(-1, 16)] + [entity("transport-belt", x, 5, 4) for x in range(15)]
+    few = [entity("pipe", 2 * k, 0) for k in range(5)]
+    got = {r.layout_id: (r.period, r.repeats) for r in sequential.periods(parsed(spark, [*row, *belts], few, [*few, entity("pipe", 40, 0)])).collect()}
+    assert got == {"0#": (4, 4), "2#": (2, 5)}
+
+
+def test_greedy_pairs_and_poles(spark):
+    ends = spark.createDataFrame([(1, i, "u", x, 0, 4, io, 5) for i, (x, io) in enumerate([(0, "input"), (1, "input"), (2, "output"), (3, "output"), (9, "input"), (20, "output")])], "layout_id int, idx int, name string, x int, y int, direction int, io_type string, reach int")
+    assert sorted((r.entrance, r.exit) for r in sequential.greedy_pairs(ends).collect()) == [(0, 2), (1, 3)]
+    poles = spark.createDataFrame([(1, k, 5.0 * k + 0.5, 0.5, 2.5, 7.5) for k in range(5)], "layout_id int, idx int, px double, py double, half double, wire double")
+    machine = spark.createDataFrame([(1, 9, 1, 3, 3)], "layout_id int, x int, y int, w int, h int")
+    assert sorted(r.idx for r in sequential.covering_poles(poles, machine).collect()) == [2]
 
 
 def test_grouped(spark):

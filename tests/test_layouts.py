@@ -32,20 +32,37 @@ POLE = entity("small-electric-pole", 2, 1)
 
 def test_round_trip_and_bad_strings(spark):
     text = S.encode_one('{"blueprint": {"entities": []}}')
-    assert S.decode_one(text) == ('{"blueprint": {"entities": []}}', None)
-    assert [S.decode_one(x)[1] for x in (None, "", "1abc", "0!!!!", "0" + "A" * (S.MAX_CHARS + 1))] == ["empty or too long", "empty or too long", "unsupported version byte", "not decodable", "empty or too long"]
+    assert S.unpacked(text) == ({"blueprint": {"entities": []}}, None)
+    assert [S.unpacked(x)[1] for x in (None, "", "1abc", "0!!!!", "0" + "A" * (S.MAX_CHARS + 1))] == ["empty or too long", "empty or too long", "unsupported version byte", "not decodable", "empty or too long"]
+    bomb = S.encode_one(" " * (S.MAX_BYTES + 1))
+    assert S.unpacked(bomb)[1] == "too large when decoded"
 
 
 def test_nested_collections(spark):
     one = {"blueprint": {"entities": [], "version": 1 << 48}}
     book = {"blueprint_book": {"version": 3 << 48, "blueprints": [{**one, "index": 8}, {"index": 2, "blueprint_book": {"blueprints": [{"blueprint": {}}]}}, 5]}}
-    assert [(p, a) for p, a, _, _ in S.walk(book)] == [("8", 1), ("2/0", 3)]
+    assert [(p, v >> 48) for p, v, _ in S.collected(book)] == [("8", 1), ("2/0", 3)]
     found = S.layouts(spark.createDataFrame([(1, S.encode_one(json.dumps(book))), (2, "junk")], "k int, t string"), "k", "t").collect()
-    assert sorted((r.k, r.path, r.error is None) for r in found) == [(1, "2/0", True), (1, "8", True), (2, "", False)]
+    assert sorted((r.k, r.pos, r.path, r.error is None) for r in found) == [(1, 0, "8", True), (1, 1, "2/0", True), (2, 0, "", False)]
+
+
+def test_the_first_children_are_kept(spark):
+    """Places count as numbers: the eleventh child comes after the third."""
+    book = {"blueprint_book": {"blueprints": [{"blueprint": {"label": str(i)}} for i in range(60)]}}
+    rows = spark.createDataFrame([(k, f, S.encode_one(json.dumps(book))) for k, f in ((1, 5), (2, 10), (3, 100))], "k int, favorites int, t string")
+    found = S.capped(S.layouts(rows, "k", "t").join(rows.select("k", "favorites"), "k"), "k", "favorites")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.k, []).append(int(r.path))
+    assert {k: sorted(v) for k, v in got.items()} == {1: list(range(25)), 2: list(range(50)), 3: list(range(60))}
+    alone = S.single(S.layouts(rows.limit(1).union(spark.createDataFrame([(9, 1, encoded([]))], rows.schema)), "k", "t"), "k")
+    assert {(r.k, r.error) for r in alone.collect()} == {(1, "a collection"), (9, None)}
 
 
 def test_entities_and_rejects(spark):
-    got = {r.idx: r for r in parsed(spark, [entity("filter-inserter", 1, 2, 4), entity("nothing", 0, 0), {"name": "pipe", "position": {"x": 0.2, "y": 0.5}}, entity("splitter", 3, 4, 4, size=(1, 2))]).collect()}
+    old = spark.createDataFrame([(1, encoded([entity("filter-inserter", 1, 2, 2)], 1 << 48))], "key int, text string")
+    assert [(r.name, r.direction, r.reject) for r in S.entities(S.layouts(old, "key", "text"), "key").collect()] == [("fast-inserter", 4, None)]
+    got = {r.idx: r for r in parsed(spark, [entity("fast-inserter", 1, 2, 4), entity("nothing", 0, 0), {"name": "pipe", "position": {"x": 0.2, "y": 0.5}}, entity("splitter", 3, 4, 4, size=(1, 2))]).collect()}
     assert (got[0].name, got[0].x, got[0].y, got[0].reject) == ("fast-inserter", 1, 2, None)
     assert (got[1].reject, got[2].reject) == ("unknown entity", "off_grid")
     assert (got[3].w, got[3].h, got[3].x, got[3].y) == (1, 2, 3, 4)
@@ -64,6 +81,10 @@ def test_entities_and_rejects(spark):
         ([*BELTS, entity("inserter", 1, 1), MACHINE, entity("small-electric-pole", 9, 9)], ["belt_end", "unpowered"]),
         ([entity("small-electric-pole", 0, 0), entity("small-electric-pole", 20, 0)], ["pole_islands"]),
         ([entity("burner-inserter", 0, 1), entity("stone-wall", 0, 0), entity("iron-chest", 0, 2)], ["inserter_target"]),
+        ([entity("underground-belt", 0, 0, 4, type="input"), entity("underground-belt", 1, 0, 4, type="input"), entity("underground-belt", 2, 0, 4, type="output"), entity("underground-belt", 3, 0, 4, type="output")], []),
+        ([entity("offshore-pump", 0, 1, 0, size=(1, 2)), entity("pipe", 0, 0)], ["collision"]),
+        ([entity("pipe", 0, 0), {"name": "pipe", "position": {"x": 3.2, "y": 0.5}}, {"name": "pipe", "position": {"x": 0.6, "y": 0.4}}], ["collision", "off_grid"]),
+        ([entity("pipe", 0, 0), entity("pipe", 0, 0), entity("nothing", 3, 3)], ["unparseable"]),
         ([], []),
     ],
 )
