@@ -19,7 +19,7 @@ COMPASS = ("north", "east", "south", "west")
 COMPASS_RU = (("северн", "восточн", "южн", "западн"), ("север", "восток", "юг", "запад"))
 #: What ends a line, and white space, as in Python's str.
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]"
-SPACE = "[\\s\\x1C-\\x1F\\x{85}\\p{Z}]"
+SPACE = "[\\t-\\r\\x1C-\\x20\\x{85}\\p{Z}]"
 
 
 def strip(text: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.plans import layout_queries, records
+from plotweave.plans import layout_queries, literal_queries, record_queries, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (records, layout_queries):
+for module in (records, record_queries, layout_queries, literal_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

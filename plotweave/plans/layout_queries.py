@@ -110,17 +110,9 @@ def item_fixpoint(spark, sf):
     return G.spread(facts, edges, [L]).groupBy(L, "item").agg(F.count("*").alias("n"), F.sum("node").alias("nodes"))
 
 
-def classify_layouts(spark, sf):
-    """A cascade over pivoted counts, in fixed order."""
-    ents = entities(spark, sf)
-    counts = ents.groupBy(L).agg(*[F.count_if(F.col("name") == n).alias(n) for n in ("AF", "RF", "NO", "NF")], F.count("*").alias("total"))
-    kind = F.when(F.col("NF") >= 4, "mixed").when(F.col("NO") / F.col("total") >= 0.55, "open").when(F.col("RF") > F.col("AF") * 1.1, "returned").when(F.col("AF") > F.col("RF") * 1.1, "accepted").otherwise("even")
-    return counts.select(L, kind.alias("category"), "total")
-
-
 NAMES = (
     "tile_collisions front_tile_lookup pickup_targets asof_with_blocking power_coverage_anti band_proximity_join straight_runs span_clusters normalized_layouts rotated_layouts layout_facts area_share"
-    " layout_density build_copies pole_components lane_reachability item_fixpoint classify_layouts"
+    " layout_density build_copies pole_components lane_reachability item_fixpoint"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 _E = """WITH RECURSIVE e AS (SELECT l_orderkey % 400 AS layout_id, l_orderkey * 8 + l_linenumber AS idx, l_returnflag || l_linestatus AS name, CAST(l_partkey % 24 AS INT) AS x, CAST(l_suppkey % 16 AS INT) AS y,
@@ -158,6 +150,4 @@ m AS (SELECT layout_id, node, min(seen) AS root FROM r GROUP BY 1, 2) SELECT lay
     "lane_reachability": f"{_E}, r AS (SELECT layout_id, idx FROM e WHERE idx % 50 = 1 UNION SELECT f.layout_id, f.target FROM r JOIN f USING (layout_id, idx) WHERE f.target IS NOT NULL) SELECT layout_id, count(*) AS reached, CAST(sum(idx) AS BIGINT) AS nodes FROM r GROUP BY 1",
     "item_fixpoint": f"""{_E}, r AS (SELECT layout_id, idx, 'i' || (idx % 3) AS item FROM e WHERE idx % 7 = 1 UNION SELECT f.layout_id, f.target, r.item FROM r JOIN f USING (layout_id, idx)
 WHERE f.target IS NOT NULL AND (f.idx % 10 NOT IN (0, 5) OR (f.idx % 10 = 0) = (item = 'i1'))) SELECT layout_id, item, count(*) AS n, CAST(sum(idx) AS BIGINT) AS nodes FROM r GROUP BY 1, 2""",
-    "classify_layouts": f"""{_E}, c AS (SELECT layout_id, count(*) FILTER (name = 'AF') AS af, count(*) FILTER (name = 'RF') AS rf, count(*) FILTER (name = 'NO') AS no, count(*) FILTER (name = 'NF') AS nf, count(*) AS total FROM e GROUP BY 1)
-SELECT layout_id, CASE WHEN nf >= 4 THEN 'mixed' WHEN no / total >= 0.55 THEN 'open' WHEN rf > af * 1.1 THEN 'returned' WHEN af > rf * 1.1 THEN 'accepted' ELSE 'even' END AS category, total FROM c""",
 }

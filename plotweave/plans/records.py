@@ -191,7 +191,9 @@ _CUT = r"trim(regexp_replace({}, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 _NUMBERS = r"list_distinct(regexp_extract_all(text, '\d+'))"
 _LABELS = """WITH j AS (SELECT lang, toxic, quality, CAST(substr(source, 4) AS INT) % 2 AS par FROM labels JOIN documents USING (doc_id)),
 s AS (SELECT par, lang, 'toxic' AS metric, avg(toxic) AS value FROM j GROUP BY 1, 2 UNION ALL SELECT par, lang, 'quality', avg(quality) FROM j GROUP BY 1, 2)"""
-_LAST = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+_SPACE = r"[\t-\r\x1C-\x20\x{85}\p{Z}]"
+_LINES = r"string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]')"
+_LAST = f"list_filter(list_transform({_LINES}, lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> '')"
 ORACLES = {
     "status_counters": """
 WITH d AS (SELECT doc_id, lang, sha256(text) h, length(text) // 3 n FROM documents),
