@@ -4,6 +4,9 @@ Each stage takes all rows that its predecessor kept. Every stage but the last re
 toxicity drops the documents that the model rejects, near duplicates keep one document of each group (five words, 0.8),
 decontamination drops documents with benchmark windows, secrets are masked in the text (which keeps the document), and the
 mixture repeats or drops documents so that all sources weigh the same.
+
+Defined cases: documents without an id or a text take part like others (an empty text is nobody's copy and has no secret); repeated rows are copies; rows that
+share an id are told apart by their texts; other columns pass through every stage, whatever they are called; a stage of no rows gives none.
 """
 
 from __future__ import annotations
