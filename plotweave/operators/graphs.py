@@ -6,6 +6,7 @@ new; where a caller limits them, an operator raises rather than return a part.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -36,17 +37,36 @@ def counted(rounds: int | None) -> Iterator[int]:
         yield k
 
 
+#: Rounds whose finds are kept apart before they are put together.
+APART = 16
+
+
+class Found:
+    """What the rounds have found: each round's rows are written once, and put together from time to time only."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def every(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, self.parts)
+
+    def add(self, new: DataFrame) -> None:
+        self.parts.append(new)
+        if len(self.parts) > APART:
+            self.parts = [cut(self.every())]
+
+
 def reachable(starts: DataFrame, edges: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:
     """keys and node with depth: all nodes reached from the starts (keys, node) along edges (keys, src, dst), and in how many steps."""
-    seen = cut(starts.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
-    last = seen
+    last = cut(starts.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
+    seen = Found(last)
     for depth in counted(rounds):
         step = last.select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        last = cut(step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        last = cut(step.join(seen.every().select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if last.isEmpty():
             break
-        seen = cut(seen.unionByName(last))
-    return seen
+        seen.add(last)
+    return seen.every()
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:
@@ -71,16 +91,16 @@ def spread(facts: DataFrame, edges: DataFrame, keys: list[str], rounds: int | No
 
     rule null lets every item pass, 'only' the rule's item, 'except' all others. Semi-naive: a round joins the last round's new facts only.
     """
-    known = cut(facts.select(*keys, "node", "item").distinct())
-    last = known
+    last = cut(facts.select(*keys, "node", "item").distinct())
+    known = Found(last)
     passes = F.col("rule").isNull() | ((F.col("rule") == "only") == (F.col("item") == F.col("rule_item")))
     for _ in counted(rounds):
         step = last.select(*keys, F.col("node").alias("src"), "item").join(edges, [*keys, "src"]).filter(passes).select(*keys, F.col("dst").alias("node"), "item").distinct()
-        last = cut(step.join(known, [*keys, "node", "item"], "left_anti"))
+        last = cut(step.join(known.every(), [*keys, "node", "item"], "left_anti"))
         if last.isEmpty():
             break
-        known = cut(known.unionByName(last))
-    return known
+        known.add(last)
+    return known.every()
 
 
 def pruned(edges: DataFrame, keep: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:

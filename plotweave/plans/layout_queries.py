@@ -96,16 +96,15 @@ def pole_components(spark, sf):
 
 def lane_reachability(spark, sf):
     ents = entities(spark, sf)
-    edges = A.front(ents).filter("target is not null").select(L, F.col("idx").alias("src"), F.col("target").alias("dst"))
+    edges = G.cut(A.front(ents).filter("target is not null").select(L, F.col("idx").alias("src"), F.col("target").alias("dst")))  # read in each round
     starts = ents.filter("idx % 50 = 1").select(L, F.col("idx").alias("node"))
     return G.reachable(starts, edges, [L]).groupBy(L).agg(F.count("*").alias("reached"), F.sum("node").alias("nodes"))
 
 
 def item_fixpoint(spark, sf):
     ents = entities(spark, sf)
-    edges = A.front(ents).filter("target is not null").select(
-        L, F.col("idx").alias("src"), F.col("target").alias("dst"), F.when(F.col("idx") % 10 == 0, "only").when(F.col("idx") % 10 == 5, "except").alias("rule"), F.lit("i1").alias("rule_item")
-    )
+    rule = F.when(F.col("idx") % 10 == 0, "only").when(F.col("idx") % 10 == 5, "except")
+    edges = G.cut(A.front(ents).filter("target is not null").select(L, F.col("idx").alias("src"), F.col("target").alias("dst"), rule.alias("rule"), F.lit("i1").alias("rule_item")))
     facts = ents.filter("idx % 7 = 1").select(L, F.col("idx").alias("node"), F.concat(F.lit("i"), (F.col("idx") % 3).cast("string")).alias("item"))
     return G.spread(facts, edges, [L]).groupBy(L, "item").agg(F.count("*").alias("n"), F.sum("node").alias("nodes"))
 
