@@ -1,6 +1,6 @@
 """Graph operators over all layouts at once: reachability, components and monotone fixpoints, one join a round for all of them.
 
-Each round joins only what the last round found. Lineage is cut through the shared checkpoint folder. Rounds go on until nothing is
+Each round joins only what the last round found. Lineage is cut by tables in the folder that the cluster shares. Rounds go on until nothing is
 new; where a caller limits them, an operator raises rather than return a part.
 """
 
@@ -8,25 +8,32 @@ from __future__ import annotations
 
 import functools
 import itertools
+import tempfile
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: spark.checkpoint.dir or the context's; only a local session without either gets a temporary one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="plotweave-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint(). The folder is spark.checkpoint.dir or the context's; only a local session without either gets a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="plotweave-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df with its lineage cut: written to the shared folder and read again, with nothing of the plan that made it."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def counted(rounds: int | None) -> Iterator[int]:
