@@ -50,13 +50,17 @@ class Vocabulary:
 
     def has(self, kind: str, name: Column) -> Column:
         names = getattr(self, kind)
-        return F.lit(True) if names is None else F.array_contains(F.array(*map(F.lit, names)), name)
+        return F.lit(True) if names is None else F.array_contains(F.split(F.lit("\n".join(names)), "\n"), name)
+
+
+def lookup(pairs: dict, name: Column) -> Column:
+    """The value of a name as a string, or null. The pairs are one literal, however many they are, so that expressions stay small."""
+    return F.element_at(F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in pairs.items())), F.lit(";"), F.lit("=")), name)
 
 
 def renamed(name: Column) -> Column:
     """The current name of an item, signal or entity."""
-    every = ENTITY_RENAMES | ITEM_RENAMES
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in every.items() for x in pair)), name), name)
+    return F.coalesce(lookup(ENTITY_RENAMES | ITEM_RENAMES, name), name)
 
 
 def _setting(value: Column, reject: Column) -> Column:
@@ -86,8 +90,8 @@ def _counted(pairs: Column) -> Column:
 
 def modules(raw: Column, name: Column) -> Column:
     """'name=count;...', sorted. raw: the JSON of items, as a list of {item, count}, a map, or requests with inventories."""
-    slots = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in MODULE_SLOTS.items() for x in p)), name), F.lit(0))
-    inventory = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in MODULE_INVENTORY.items() for x in p)), name), F.lit(OTHER_INVENTORY))
+    slots = F.coalesce(lookup(MODULE_SLOTS, name).cast("int"), F.lit(0))
+    inventory = F.coalesce(lookup(MODULE_INVENTORY, name).cast("int"), F.lit(OTHER_INVENTORY))
     listed = F.from_json(raw, "array<struct<item:string,count:int,id:struct<name:string,quality:string>,items:struct<in_inventory:array<struct<inventory:int,count:int>>>>>")
     mapped = F.from_json(raw, "map<string,int>")
     in_slots = lambda x: F.aggregate(
@@ -104,7 +108,7 @@ def modules(raw: Column, name: Column) -> Column:
     names = F.array_sort(F.array_distinct(F.transform(asked, lambda p: p["name"])))
     summed = F.transform(names, lambda n: F.struct(n.alias("name"), F.aggregate(F.filter(asked, lambda p: p["name"] == n), F.lit(0), lambda a, p: a + p["count"]).alias("count")))
     total = F.aggregate(asked, F.lit(0), lambda a, p: a + p["count"])
-    known = F.array(*map(F.lit, MODULES))
+    known = F.split(F.lit(" ".join(MODULES)), " ")
     reject = _reason((F.exists(pairs, lambda p: p["fine"]), "module quality"), (F.exists(asked, lambda p: ~F.array_contains(known, p["name"])), "unknown module"), (total > slots, "too many modules"))
     return F.when(slots > 0, _setting(_counted(summed), reject)).otherwise(_setting(_nothing(), _nothing()))
 

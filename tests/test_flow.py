@@ -3,42 +3,57 @@ import math
 import random
 
 import numpy as np
+import pytest
 
-from plotweave.operators import flow, sequential
+from plotweave.operators import flow, graphs, sequential
 from tests.test_layouts import entity, parsed
 
 RECIPES = [("gear", "in", "plate"), ("gear", "out", "gear"), ("engine", "in", "gear"), ("engine", "in", "pipe"), ("engine", "out", "engine")]
 
 
-def run(spark, entities, inputs):
-    ents = parsed(spark, entities)
-    layout = ents.first().layout_id
+LINE = [
+    *[entity("transport-belt", x, 0, 4) for x in range(3)],  # 0 to 2
+    entity("assembling-machine-1", 0, 2, size=(3, 3), recipe="gear"),  # 3
+    *[entity("transport-belt", x, 6, 4) for x in range(3)],  # 4 to 6
+    *[entity("inserter", 1, 1), entity("inserter", 1, 5)],  # take from above, drop below
+]
+SIDE = [
+    *[entity("transport-belt", x, 1, 4) for x in range(3)],  # 0 to 2
+    entity("transport-belt", 1, 0, 8),  # 3, from the north onto an eastward belt: its left
+    entity("assembling-machine-1", 5, 5, size=(3, 3), recipe="engine"),
+]
+CURVE = [entity("transport-belt", 0, 0, 4), entity("transport-belt", 1, 0, 8), entity("underground-belt", 1, 1, 8, type="input"), entity("underground-belt", 1, 4, 8, type="output"), entity("transport-belt", 1, 5, 8)]
+INPUTS = [("0#", "b:0:0", "plate"), ("0#", "b:0:1", "coal"), ("1#", "b:0:0", "a"), ("1#", "b:3:0", "b"), ("1#", "b:3:1", "c"), ("2#", "b:0:0", "a")]
+
+
+@pytest.fixture(scope="module")
+def flows(spark):
+    """What reaches each place, and the problems, of the three layouts."""
+    ents = graphs.cut(parsed(spark, LINE, SIDE, CURVE))
     recipes = spark.createDataFrame(RECIPES, "recipe string, side string, item string")
-    known = flow.simulate(ents, recipes, spark.createDataFrame([(layout, *i) for i in inputs], "layout_id string, node string, item string"))
-    return {(r.node, r.item) for r in known.collect()}, {(r.problem, r.node, r.item) for r in flow.verdict(ents, recipes, known).collect()}
+    known = graphs.cut(flow.simulate(ents, recipes, spark.createDataFrame(INPUTS, "layout_id string, node string, item string")))
+    reached, problems = {k: set() for k in "012"}, {k: set() for k in "012"}
+    for r in known.collect():
+        reached[r.layout_id[0]].add((r.node, r.item))
+    for r in flow.verdict(ents, recipes, known).collect():
+        problems[r.layout_id[0]].add((r.problem, r.node, r.item))
+    return reached, problems
 
 
-def test_one_machine_line(spark):
-    line = [entity("transport-belt", x, 0, 4) for x in range(3)]  # 0 to 2
-    machine = entity("assembling-machine-1", 0, 2, size=(3, 3), recipe="gear")  # 3
-    out = [entity("transport-belt", x, 6, 4) for x in range(3)]  # 4 to 6
-    hands = [entity("inserter", 1, 1), entity("inserter", 1, 5)]  # take from above, drop below
-    known, problems = run(spark, [*line, machine, *out, *hands], [("b:0:0", "plate"), ("b:0:1", "coal")])
+def test_one_machine_line(flows):
+    known, problems = flows[0]["0"], flows[1]["0"]
     assert {("b:2:0", "plate"), ("b:2:1", "coal"), ("i:3", "plate"), ("o:3", "gear"), ("b:5:1", "gear"), ("b:6:1", "gear")} <= known
     assert ("i:3", "coal") not in known and ("b:4:1", "gear") not in known and not problems
 
 
-def test_starved_and_side_load(spark):
-    main = [entity("transport-belt", x, 1, 4) for x in range(3)]  # 0 to 2
-    side = [entity("transport-belt", 1, 0, 8)]  # 3, from the north onto an eastward belt: its left
-    _, problems = run(spark, [*main, *side, entity("assembling-machine-1", 5, 5, size=(3, 3), recipe="engine")], [("b:0:0", "a"), ("b:3:0", "b"), ("b:3:1", "c")])
+def test_starved_and_side_load(flows):
+    problems = flows[1]["1"]
     assert ("starved", "i:4", "gear") in problems and ("starved", "i:4", "pipe") in problems
     assert {p[1] for p in problems if p[0] == "lane_mixed"} == {"b:1", "b:2"}  # a belt is named once
 
 
-def test_curve_and_underground_keep_lanes(spark):
-    ents = [entity("transport-belt", 0, 0, 4), entity("transport-belt", 1, 0, 8), entity("underground-belt", 1, 1, 8, type="input"), entity("underground-belt", 1, 4, 8, type="output"), entity("transport-belt", 1, 5, 8)]
-    known, _ = run(spark, ents, [("b:0:0", "a")])
+def test_curve_and_underground_keep_lanes(flows):
+    known = flows[0]["2"]
     assert {("b:1:0", "a"), ("b:3:0", "a"), ("b:4:0", "a")} <= known and not any(n.endswith(":1") for n, _ in known)
 
 
