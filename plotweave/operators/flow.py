@@ -265,6 +265,27 @@ def input_ports(entities: DataFrame) -> DataFrame:
     return free.union(emptied.select(L, place("i", "idx")))
 
 
+def signs(entities: DataFrame) -> DataFrame:
+    """layout_id, idx, items of filter inserters that can never move anything: they take from bare ground onto which nothing is dropped, and don't drop into what
+    holds items. Players use them to name an item."""
+    hand = hands(entities)
+    dropped = hand.filter("target is null").select(L, F.col("to").alias("from_tile")).distinct()
+    holds = entities.filter(F.col("holds_items") & ~F.col("kind").isin(*BELTS)).select(L, F.col("idx").alias("target"))
+    shown = hand.filter("items is not null and not blacklist and source is null").withColumn("from_tile", place("g", "sx", "sy"))
+    return shown.join(dropped, [L, "from_tile"], "left_anti").join(holds, [L, "target"], "left_anti").select(L, "idx", "items")
+
+
+def inner_inputs(entities: DataFrame, depth: int = 3) -> DataFrame:
+    """layout_id, node: input lanes that lie deeper than so many tiles in their layout's box, behind and to both sides."""
+    box = entities.groupBy(L).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w") - 1).alias("x1"), F.max(F.col("y") + F.col("h") - 1).alias("y1"))
+    ports = input_ports(entities).filter("node like 'b:%'").withColumn("idx", F.split("node", ":")[1].cast("bigint"))
+    placed = ports.join(entities.select(L, F.col("idx").cast("bigint").alias("idx"), "x", "y", "direction"), [L, "idx"]).join(box, L)
+    west, east, north, south = F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y")
+    behind = F.when(F.col("direction") == 4, west).when(F.col("direction") == 12, east).when(F.col("direction") == 8, north).otherwise(south)
+    beside = F.when(F.col("direction").isin(4, 12), F.least(north, south)).otherwise(F.least(west, east))
+    return placed.filter(F.least(behind, beside) > depth).select(L, "node")
+
+
 def verdict(entities: DataFrame, recipes: DataFrame, known: DataFrame, *, roles: DataFrame | None = None, inputs: DataFrame | None = None) -> DataFrame:
     """layout_id, problem, node, item of what is wrong.
 

@@ -193,26 +193,33 @@ def wires(poles: DataFrame, most: int = 5) -> DataFrame:
 
 def covering_poles(poles: DataFrame, consumers: DataFrame) -> DataFrame:
     """layout_id, idx of the poles that stay: those that cover a consumer, and of the others, the farthest from the consumers first, those without which
-    the wired network would fall into more parts. poles: idx, px, py, half, wire; consumers: x, y, w, h."""
+    the covering ones would fall into more networks. poles: idx, px, py, half, wire; consumers: x, y, w, h."""
     both = poles.select(L, F.lit(True).alias("pole"), "idx", "px", "py", "half", "wire").unionByName(
         consumers.select(L, F.lit(False).alias("pole"), F.lit(None).cast(poles.schema["idx"].dataType).alias("idx"), (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + F.col("h") / 2).alias("py"), (F.col("w") / 2).alias("half"), (F.col("h") / 2).alias("wire"))
     )
 
-    def parts(frame: pd.DataFrame) -> int:
-        points = frame[["px", "py", "wire"]].to_numpy(dtype=float)
-        return len(points) - len(tree_of(points)) if len(points) else 0
+    def parts(frame: pd.DataFrame, covering: set) -> int:
+        """How many networks the covering poles fall into, wired through the given ones."""
+        names, label = frame["idx"].tolist(), list(range(len(frame)))
+        for i, j in tree_of(frame[["px", "py", "wire"]].to_numpy(dtype=float)) if len(frame) else ():
+            old, new = label[i], label[j]
+            label = [new if x == old else x for x in label]
+        return len({x for x, name in zip(label, names, strict=True) if name in covering})
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         held, used = frame[frame["pole"]].sort_values("idx"), frame[~frame["pole"]]
         ux, uy, uw, uh = (used[c].to_numpy(dtype=float) for c in ("px", "py", "half", "wire"))
-        far = []
+        far, covering = [], set()
         for r in held.itertuples():
             dx, dy = np.abs(ux - r.px), np.abs(uy - r.py)
-            if not ((dx < uw + r.half) & (dy < uh + r.half)).any():
+            if ((dx < uw + r.half) & (dy < uh + r.half)).any():
+                covering.add(r.idx)
+            else:
                 far.append((-(np.hypot(dx, dy).min() if len(dx) else 0.0), r.idx))
+        target = parts(held, covering)
         for _, idx in sorted(far):
             without = held[held["idx"] != idx]
-            if len(without) and parts(without) <= parts(held):
+            if parts(without, covering) <= target:
                 held = without
         return pd.DataFrame({L: held[L], "idx": held["idx"]})
 

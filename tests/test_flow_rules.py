@@ -77,3 +77,14 @@ def test_hands_and_machines(judged):
     assert ("i:2", "plate") in reached["furnace"] and ("starved", "i:3", "any fuel") in problems["furnace"]
     assert ("i:2", "rounds") in reached["turrets"] and ("i:2", "junk") not in reached["turrets"] and problems["turrets"] == set()
     assert {("dangling_inserter", "h:0", None), ("dangling_inserter", "h:1", None)} <= problems["ground"]
+
+
+def test_signs_and_inner_inputs(spark):
+    layouts = {
+        "sign": [hand(0, 0, filters=[{"index": 1, "name": "plate"}], use_filters=True), *line(0, 1, 2), hand(5, 5, filters=[{"index": 1, "name": "coal"}], use_filters=True), entity("iron-chest", 5, 6)],
+        "deep": [*line(6, 6, 2), entity("pipe", 0, 0), entity("pipe", 13, 13), *line(1, 1, 2)],
+    }
+    rows = [(k, S.encode_one(json.dumps({"blueprint": {"entities": e, "version": 2 << 48}}))) for k, e in layouts.items()]
+    ents = graphs.cut(S.entities(S.layouts(spark.createDataFrame(rows, "key string, text string"), "key", "text"), "key"))
+    assert [(r.layout_id, r.idx, r["items"]) for r in flow.signs(ents).collect()] == [("sign#", 0, ["plate"])]
+    assert sorted((r.layout_id, r.node) for r in flow.inner_inputs(ents).collect()) == [("deep#", "b:0:0"), ("deep#", "b:0:1")]
