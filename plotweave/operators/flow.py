@@ -286,11 +286,21 @@ def inner_inputs(entities: DataFrame, depth: int = 3) -> DataFrame:
     return placed.filter(F.least(behind, beside) > depth).select(L, "node")
 
 
+def dead_hands(entities: DataFrame) -> DataFrame:
+    """layout_id, idx of hands that take from belts which nothing can ever reach: no port, hand or drill leads to them."""
+    hand = graphs.cut(hands(entities))
+    starts = input_ports(entities).union(hand.select(L, F.col("to").alias("node"))).union(drills(entities, "").select(L, "node")).filter("node like 'b:%'").distinct()
+    live = graphs.reachable(starts, lane_edges(entities).select(L, "src", "dst"), [L]).select(L, F.col("node").alias("src"))
+    taking = takes(hand).filter("src like 'b:%'")
+    alive = taking.join(live, [L, "src"], "left_semi").select(L, "dst")
+    return taking.select(L, "dst").distinct().join(alive, [L, "dst"], "left_anti").select(L, F.split("dst", ":")[1].cast("bigint").alias("idx"))
+
+
 def verdict(entities: DataFrame, recipes: DataFrame, known: DataFrame, *, roles: DataFrame | None = None, inputs: DataFrame | None = None) -> DataFrame:
     """layout_id, problem, node, item of what is wrong.
 
     starved: a machine's need that nothing received meets, or a pack that a lab lacks and another gets; no_output: a working machine whose products nobody takes;
-    dangling_inserter: a hand with nothing to take, unless what it feeds works anyway, or one that drops into nothing; clog: an item that nobody takes from a lane where others
+    dangling_inserter: a hand with nothing to take, unless what it feeds works anyway or nothing can ever reach its belt, or one that drops into nothing; clog: an item that nobody takes from a lane where others
     are taken from; output_mixed: an input that leaves with products; lane_mixed: a belt with a lane of several items, each once.
     """
     roles = _no_roles(entities) if roles is None else roles
@@ -321,7 +331,8 @@ def verdict(entities: DataFrame, recipes: DataFrame, known: DataFrame, *, roles:
     taken_ground = hand.filter("source is null").select(L, place("g", "sx", "sy").alias("to"), F.lit(True).alias("picked")).distinct()
     judged = judged.join(taken_ground, [L, "to"], "left")
     nowhere = F.col("target").isNotNull() & ~F.col("to_kind").isin(*BELTS) & F.col("takes").isNull()
-    dangling = judged.filter((F.col("busy").isNull() & F.col("serves").isNull()) | (F.col("busy").isNotNull() & F.col("target").isNull() & F.col("picked").isNull()) | nowhere).select(L, F.lit("dangling_inserter"), place("h", "idx"), _none())
+    judged = judged.join(dead_hands(entities).withColumn("dead", F.lit(True)), [L, "idx"], "left")
+    dangling = judged.filter((F.col("busy").isNull() & F.col("serves").isNull() & F.col("dead").isNull()) | (F.col("busy").isNotNull() & F.col("target").isNull() & F.col("picked").isNull()) | nowhere).select(L, F.lit("dangling_inserter"), place("h", "idx"), _none())
 
     lanes = known.filter("node like 'b:%'")
     edges_of_lanes = graphs.cut(lane_edges(entities))

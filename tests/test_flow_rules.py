@@ -35,6 +35,8 @@ CASES = {
     "drill": ([entity("electric-mining-drill", 0, 0, 8, size=(3, 3)), *line(0, 3, 3)], []),
     "clog": ([*line(0, 0, 3), MACHINE, hand(1, 1), hand(1, 5), entity("iron-chest", 1, 6)], [("b:0:0", "plate"), ("b:0:0", "stone")]),
     "turrets": ([entity("gun-turret", 0, 0, size=(2, 2)), hand(0, 2), entity("gun-turret", 0, 3, size=(2, 2))], [("i:0", "rounds"), ("i:0", "junk")]),
+    # a ring that nothing feeds: its hand is idle, the machine starves
+    "ring": ([entity("transport-belt", 0, 0, 4), entity("transport-belt", 1, 0, 8), entity("transport-belt", 1, 1, 12), entity("transport-belt", 0, 1, 0), hand(1, 2), entity("assembling-machine-1", 0, 3, size=(3, 3), recipe="gear")], []),
     "ground": ([hand(0, 0), hand(5, 5), entity("iron-chest", 5, 6), entity("iron-chest", 5, 3)], []),
 }
 
@@ -77,6 +79,7 @@ def test_hands_and_machines(judged):
     assert ("i:2", "plate") in reached["furnace"] and ("starved", "i:3", "any fuel") in problems["furnace"]
     assert ("i:2", "rounds") in reached["turrets"] and ("i:2", "junk") not in reached["turrets"] and problems["turrets"] == set()
     assert {("dangling_inserter", "h:0", None), ("dangling_inserter", "h:1", None)} <= problems["ground"]
+    assert problems["ring"] == {("starved", "i:5", "plate")} and ports["ring"] == set()
 
 
 def test_signs_and_inner_inputs(spark):
