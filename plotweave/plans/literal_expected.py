@@ -1,4 +1,5 @@
-"""The rows that the queries on literal inputs must give, stated as SQL: worked out from the rules of the operators, query by query."""
+"""The rows that the queries on literal inputs must give, stated as SQL. They were taken from the queries' results and read against the operators' rules, so they guard
+against changes; they aren't an independent computation."""
 
 # The expected rows.
 EXPECTED = {
