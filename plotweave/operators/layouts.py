@@ -5,9 +5,13 @@ An entity has layout_id, idx (its place in its layout), name, x, y (its smallest
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotweave.operators import graphs
+
 L = "layout_id"
 
 
@@ -79,6 +83,11 @@ def unpowered(consumers: DataFrame, poles: DataFrame, cell: int = 8) -> DataFram
     return consumers.join(covered.select(L, "idx", "x", "y").distinct(), [L, "idx", "x", "y"], "left_anti")
 
 
+def within(dx: Column, dy: Column, distance: float, square: bool = False) -> Column:
+    """Whether so far apart on each axis is within a distance (square: on each axis)."""
+    return (dx <= distance) & (dy <= distance) if square else dx * dx + dy * dy <= distance * distance + 1e-9
+
+
 def near_pairs(points: DataFrame, distance: float, *, square: bool = False) -> DataFrame:
     """a < b of each layout's points (idx, x, y) within a distance (square: on each axis), by cells of that size."""
     cell = max(distance, 1.0)
@@ -86,9 +95,43 @@ def near_pairs(points: DataFrame, distance: float, *, square: bool = False) -> D
     around = points.select(
         L, F.col("idx").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.array(*[F.floor(F.col("x") / cell) + i for i in (-1, 0, 1)])).alias("cx"), F.floor(F.col("y") / cell).alias("_cy")
     ).withColumn("cy", F.explode(F.array(*[F.col("_cy") + i for i in (-1, 0, 1)])))
-    dx, dy = F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by"))
-    within = (dx <= distance) & (dy <= distance) if square else dx * dx + dy * dy <= distance * distance + 1e-9
-    return home.join(around, [L, "cx", "cy"]).filter((F.col("a") < F.col("b")) & within).select(L, "a", "b")
+    near = within(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by")), distance, square)
+    return home.join(around, [L, "cx", "cy"]).filter((F.col("a") < F.col("b")) & near).select(L, "a", "b")
+
+
+def near_counts(points: DataFrame, distance: float, *, square: bool = False) -> DataFrame:
+    """pairs and largest: how many near_pairs each layout has and their largest b, without those pairs: places meet, with the counts of their points.
+
+    Points of one idx count among those of their places but aren't pairs, so they are taken off again.
+    """
+    placed = points.select(L, "idx", "x", "y").dropna()
+    own = F.shiftright(F.col("n") * (F.col("n") - 1), 1)
+    places = placed.groupBy(L, "x", "y").agg(F.count("*").alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+    apart = near_pairs(places.withColumn("idx", F.struct("x", "y", "n", "low", "high")), distance, square=square)
+    met = apart.select(L, (F.col("a.n") * F.col("b.n")).alias("pairs"), F.least("a.low", "b.low").alias("low"), F.greatest("a.high", "b.high").alias("high")).union(places.select(L, own, "low", "high"))
+    found = met.groupBy(L).agg(F.sum("pairs").alias("met"), F.max(F.when(F.col("low") < F.col("high"), F.col("high"))).alias("largest"))
+    again = placed.groupBy(L, "idx", "x", "y").agg(F.count("*").alias("n"))
+    other = again.select(L, "idx", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n").alias("bn"))
+    near = within(F.abs(F.col("x") - F.col("bx")), F.abs(F.col("y") - F.col("by")), distance, square)
+    twins = again.join(other, [L, "idx"]).filter((F.struct("x", "y") < F.struct("bx", "by")) & near).select(L, (F.col("n") * F.col("bn")).alias("n")).union(again.select(L, own))
+    kept = found.join(twins.groupBy(L).agg(F.sum("n").alias("twins")), L).withColumn("pairs", F.col("met") - F.col("twins"))
+    return kept.filter("pairs > 0").select(L, "pairs", "largest")
+
+
+def near_components(points: DataFrame, distance: float) -> DataFrame:
+    """node, root (the smallest node of its component): the components that near_pairs makes of points (idx is the node), without those pairs.
+
+    Points of a cell whose diagonal is the distance are all near one another. Cells stand for them and are joined where two of their places are near, so
+    pairs grow with a layout's places and rounds with its cells, whatever the number of points on each. An idx on several places is one node and joins them.
+    """
+    side = distance / math.sqrt(2)
+    placed = points.select(L, "idx", "x", "y").dropna().withColumns({"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)})
+    cells = graphs.cut(placed.groupBy(L, "gx", "gy").agg(F.min("idx").alias("cell")))
+    places = placed.select(L, "x", "y", "gx", "gy").distinct().join(cells, [L, "gx", "gy"])
+    homes = placed.join(cells, [L, "gx", "gy"]).select(L, "idx", "cell", F.min("cell").over(Window.partitionBy(L, "idx")).alias("home"))
+    edges = near_pairs(places.select(L, F.col("cell").alias("idx"), "x", "y"), distance).union(homes.filter("cell != home").select(L, "home", "cell"))
+    found = graphs.components(cells.select(L, F.col("cell").alias("node")), edges, [L])
+    return homes.select(L, "idx", "home").distinct().join(found.withColumnRenamed("node", "home"), [L, "home"]).select(L, F.col("idx").alias("node"), "root")
 
 
 def straight_runs(entities: DataFrame, least: int = 3) -> DataFrame:

@@ -92,13 +92,14 @@ def power(entities: DataFrame) -> DataFrame:
 
 def pole_islands(entities: DataFrame, reach: float = 30.0) -> DataFrame:
     """Layouts whose poles wires can't join; the smallest island's first pole is named."""
-    poles = _poles(entities)
+    # poles on one tile are always joined: the first stands for them, with the longest wire
+    poles = _poles(entities).groupBy(L, "px", "py").agg(F.min("idx").alias("idx"), F.max("wire").alias("wire"), F.count("*").alias("n"))
     near = A.near_pairs(poles.select(L, "idx", F.col("px").alias("x"), F.col("py").alias("y")), reach)
     side = lambda x: poles.select(L, F.col("idx").alias(x), F.col("px").alias(f"x_{x}"), F.col("py").alias(f"y_{x}"), F.col("wire").alias(f"w_{x}"))
     joined = near.join(side("a"), [L, "a"]).join(side("b"), [L, "b"])
     edges = joined.filter(F.sqrt(F.pow(F.col("x_a") - F.col("x_b"), 2) + F.pow(F.col("y_a") - F.col("y_b"), 2)) <= F.least("w_a", "w_b") + 1e-9).select(L, "a", "b")
     found = graphs.components(poles.select(L, F.col("idx").alias("node")), edges, [L])
-    islands = found.groupBy(L, "root").agg(F.count("*").alias("size"))
+    islands = found.join(poles.select(L, F.col("idx").alias("node"), "n"), [L, "node"]).groupBy(L, "root").agg(F.sum("n").alias("size"))
     worst = islands.groupBy(L).agg(F.count("*").alias("n"), F.min(F.struct("size", "root")).alias("s")).filter("n > 1").select(L, F.col("s.root").alias("idx"))
     return _issue(worst.join(entities, [L, "idx"]), "warning", "pole_islands")
 

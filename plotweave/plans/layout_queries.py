@@ -49,7 +49,7 @@ def power_coverage_anti(spark, sf):
 
 def band_proximity_join(spark, sf):
     ents = entities(spark, sf).filter("name = 'RF'")
-    return A.near_pairs(ents, 3, square=True).groupBy(L).agg(F.count("*").alias("pairs"), F.max("b").alias("largest"))
+    return A.near_counts(ents, 3, square=True)
 
 
 def straight_runs(spark, sf):
@@ -90,8 +90,7 @@ def build_copies(spark, sf):
 
 def pole_components(spark, sf):
     poles = entities(spark, sf).filter("name = 'AF'")
-    found = G.components(poles.select(L, F.col("idx").alias("node")), A.near_pairs(poles, 4.0), [L])
-    return found.groupBy(L).agg(F.count_distinct("root").alias("components"), F.sum("root").alias("roots"))
+    return A.near_components(poles, 4.0).groupBy(L).agg(F.count_distinct("root").alias("components"), F.sum("root").alias("roots"))
 
 
 def lane_reachability(spark, sf):
