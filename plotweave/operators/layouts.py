@@ -70,17 +70,21 @@ def undergrounds(entities: DataFrame, reach: Column, is_exit: Column) -> DataFra
 
 
 def unpowered(consumers: DataFrame, poles: DataFrame, cell: int = 8) -> DataFrame:
-    """Consumers that no pole's supply square overlaps. poles: px, py (centre), half. An equi join on cells stands for the range join."""
+    """Consumers that no pole's supply square overlaps. poles: px, py (centre), half. An equi join on cells stands for the range join.
+
+    Each box and each square takes part once, so the join grows with a layout's places, whatever the number of entities on each.
+    """
     span = lambda low, high: F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
     eps = 1e-9
-    p = poles.withColumn("cx", span(F.col("px") - F.col("half"), F.col("px") + F.col("half"))).withColumn("cy", span(F.col("py") - F.col("half"), F.col("py") + F.col("half")))
-    c = consumers.withColumn("cx", span(F.col("x"), F.col("x") + F.col("w"))).withColumn("cy", span(F.col("y"), F.col("y") + F.col("h")))
-    near = c.join(p.select(L, "cx", "cy", "px", "py", "half"), [L, "cx", "cy"])
+    box = [L, "x", "y", "w", "h"]
+    p = poles.select(L, "px", "py", "half").distinct().withColumn("cx", span(F.col("px") - F.col("half"), F.col("px") + F.col("half"))).withColumn("cy", span(F.col("py") - F.col("half"), F.col("py") + F.col("half")))
+    c = consumers.select(box).distinct().withColumn("cx", span(F.col("x"), F.col("x") + F.col("w"))).withColumn("cy", span(F.col("y"), F.col("y") + F.col("h")))
+    near = c.join(p, [L, "cx", "cy"])
     covered = near.filter(
         (F.col("px") - F.col("half") < F.col("x") + F.col("w") - eps) & (F.col("px") + F.col("half") > F.col("x") + eps)
         & (F.col("py") - F.col("half") < F.col("y") + F.col("h") - eps) & (F.col("py") + F.col("half") > F.col("y") + eps)
     )
-    return consumers.join(covered.select(L, "idx", "x", "y").distinct(), [L, "idx", "x", "y"], "left_anti")
+    return consumers.join(covered.select(box).distinct(), box, "left_anti")
 
 
 def within(dx: Column, dy: Column, distance: float, square: bool = False) -> Column:

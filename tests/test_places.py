@@ -79,3 +79,33 @@ def test_pairs_grow_with_places_only(spark, tmp_path, monkeypatch):
         grown.append(tuple(made))
         made.clear()
     assert grown[0] == grown[1] and len(grown[0]) == 3
+
+
+def largest_step(df):
+    """Most rows that a node of the plan made; runs it."""
+    rows = df.collect()
+
+    def made(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return made(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return made(node.plan())
+        own, children = node.metrics().get("numOutputRows"), node.children()
+        return max([own.get().value() if own.isDefined() else 0, *(made(children.apply(k)) for k in range(children.size()))])
+
+    return rows, made(df._jdf.queryExecution().executedPlan())
+
+
+def test_coverage_equals_that_of_all_pairs_and_joins_places_only(spark):
+    r = random.Random(5)
+    spots = [(k, r.randrange(40), r.randrange(40), r.choice((1, 2)), r.choice((1, 2))) for k in range(3) for _ in range(25)]
+    # forty consumers and forty poles on each place; one idx has two places, one of them covered, or no place, or two sizes
+    machines = [(s[0], 100 * k + j, *s[1:]) for k, s in enumerate(spots) for j in range(40)] + [(0, 9001, 60, 60, 1, 1), (0, 9001, 0, 0, 1, 1), (0, 9002, None, 3, 1, 1), (0, 9003, 2, 0, 1, 1), (0, 9003, 2, 0, 9, 9), (7, 1, 0, 0, 1, 1)]
+    places = [(k, r.randrange(40) + 0.5, r.randrange(40) + 0.5, r.choice((2.5, 3.5))) for k in range(3) for _ in range(12)] + [(0, 0.5, 0.5, 0.5), (0, 8.5, 8.5, 0.5)]
+    poles = [p for p in places for _ in range(40)]
+    covers = lambda m, p: m[0] == p[0] and p[1] - p[3] < m[2] + m[4] and p[1] + p[3] > m[2] and p[2] - p[3] < m[3] + m[5] and p[2] + p[3] > m[3]
+    want = [m for m in machines if None in m or not any(covers(m, p) for p in places)]
+    df = A.unpowered(spark.createDataFrame(machines, "layout_id int, idx int, x int, y int, w int, h int"), spark.createDataFrame(poles, "layout_id int, px double, py double, half double"))
+    got, most = largest_step(df.select("layout_id", "idx", "x", "y", "w", "h"))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and 0 < len(want) < len(machines)
+    assert 0 < most <= len(machines)  # the pairs of entities would be 1,600 for each pair of places
